@@ -140,8 +140,12 @@ def _listed(spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
-    return found.select(
+    return query_rows(table(spark, sf_dir, "documents"))
+
+
+def query_rows(docs: DataFrame) -> DataFrame:
+    """The counts and digests of what :func:`find` finds."""
+    return find(docs).select(
         "doc_id", *[f"n_{k}" for k in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"),
         F.col("n_iban"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
