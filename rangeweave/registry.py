@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from rangeweave.plans import cluster, reads, routing, streams, writes  # noqa: F401  they register their queries
+from rangeweave.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
