@@ -191,11 +191,11 @@ _RTT = f"""(SELECT *, avg(value) OVER w AS mean FROM events WINDOW w AS (PARTITI
 
 @query(
     "rtt_window",
-    f"SELECT user_id AS host, event_id, round(mean, 6) AS mean, round(var, 4) AS var, round(greatest(50, mean + {D.STD_FACTOR} * sqrt(var)), 4) AS rto FROM (SELECT *, avg(pow(mean - value, 2)) OVER (PARTITION BY user_id ORDER BY event_id ROWS {D.SAMPLES - 1} PRECEDING) AS var FROM {_RTT})",
+    f"SELECT user_id AS host, event_id, round(mean, 9) AS mean, round(var, 4) AS var, round(greatest(50, mean + {D.STD_FACTOR} * sqrt(var)), 4) AS rto FROM (SELECT *, avg(pow(mean - value, 2)) OVER (PARTITION BY user_id ORDER BY event_id ROWS {D.SAMPLES - 1} PRECEDING) AS var FROM {_RTT})",
 )
 def rtt_window(spark, d):
     rows = D.rtt_window(table(spark, d, "events").withColumnRenamed("user_id", "host"), "host", "event_id", "value", 50.0)
-    return rows.select("host", "event_id", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"), F.round("rto", 4).alias("rto"))
+    return rows.select("host", "event_id", F.round("mean", 9).alias("mean"), F.round("var", 4).alias("var"), F.round("rto", 4).alias("rto"))
 
 
 @query(
@@ -221,10 +221,10 @@ def suspicions(spark, d):
     return D.suspicions(table(spark, d, "events").select(F.col("user_id").alias("host"), F.floor(F.col("event_id") / 300).alias("period")), "host", "period")
 
 
-@query("late_answers", "SELECT host, at, gap FROM (SELECT user_id AS host, event_id AS at, (event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id))::DOUBLE AS gap FROM events) WHERE gap > 400 + host")
+@query("late_answers", "SELECT host, event_id, gap FROM (SELECT user_id AS host, event_id, (event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id))::DOUBLE AS gap FROM events) WHERE gap > 400 + host")
 def late_answers(spark, d):
-    beats = table(spark, d, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("at"))
-    return D.late_answers(beats, "host", "at", beats.select("host", (F.lit(400.0) + F.col("host")).alias("rto")).distinct())
+    beats = table(spark, d, "events").select(F.col("user_id").alias("host"), "event_id")
+    return D.late_answers(beats, "host", "event_id", beats.select("host", (F.lit(400.0) + F.col("host")).alias("rto")).distinct())
 
 
 @query("transfer_stats", "SELECT event_type AS protocol, sum(length(props))::BIGINT AS bytes, sum(event_id % 9 + 1)::BIGINT AS millis, round(sum(length(props))::DOUBLE / sum(event_id % 9 + 1) * 1000 / 1024, 6) AS kb_per_s FROM events GROUP BY 1")
