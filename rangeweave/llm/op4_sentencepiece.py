@@ -24,6 +24,7 @@ import hashlib
 import math
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,11 +37,10 @@ from rangeweave.llm.common import table, whole
 
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBER = 400_000
+REMEMBER = 1_200_000
 #: Longer stretches are not remembered.
 REMEMBER_CHARS = 48
 START, CHARACTER = -1, -2
-END = ""
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,19 +98,22 @@ class Transducer:
         self.unknown = kinds.index(self.UNKNOWN)
         self.unknown_cost = 10.0 - min(scores[i] for i in self.ids.values())
         self.out = [bytes([int(t[3:5], 16)]) if k == self.BYTE else b"" if k == self.CONTROL else " ⁇ ".encode() if k == self.UNKNOWN else t.encode() for t, k in zip(texts, kinds, strict=True)]
-        self.trie: dict = {}
+        self.trie: list = [None, {}]  # a node: the id that ends there, and the nodes after it
         for t, i in self.ids.items():
             node = self.trie
             for c in t:
-                node = node.setdefault(c, {})
-            node[END] = i
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = i
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("pieces with a mark inside are not supported")
         # a line feed that no longer piece holds is a stretch of its own
         alone = "" if any("\n" in t and len(t) > 1 for t in self.ids) else "\n"
         self.stretch = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
+        self.longest = max(map(len, self.ids))
+        self.bigrams = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         self.pairs: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # the normaliser
 
@@ -125,12 +128,16 @@ class Transducer:
 
     def _merged(self, chars: list[str]) -> list[str]:
         """What the model's merges make of a short list of characters: best score first, leftmost of equals."""
+        ids, scores = self.ids, self.scores
         while True:
-            found = [(-self.scores[i], k) for k in range(len(chars) - 1) if (i := self.ids.get(chars[k] + chars[k + 1])) is not None]
-            if not found:
+            best, at = -math.inf, -1
+            for k in range(len(chars) - 1):
+                i = ids.get(chars[k] + chars[k + 1])
+                if i is not None and scores[i] > best:
+                    best, at = scores[i], k
+            if at < 0:
                 return chars
-            k = min(found)[1]
-            chars[k : k + 2] = [chars[k] + chars[k + 1]]
+            chars[at : at + 2] = [chars[at] + chars[at + 1]]
 
     def _pair_weight(self, last: int, piece: int) -> float:
         """Of two neighbours in a BPE model; a place's first piece, or one after a character without a piece, stands alone."""
@@ -145,7 +152,7 @@ class Transducer:
         key = (last + 1) * self.size + piece
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 4 * REMEMBER:
+            if len(self.pairs) > REMEMBER:
                 self.pairs.clear()
             found = self.pairs[key] = self._pair_weight(last, piece)
         return found
@@ -154,43 +161,95 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Ids along the shortest path through a stretch of normalised text."""
+        return self._only_path(text) if self.bpe else self._best_path(text)
+
+    def _fallback(self, char: str) -> list[int]:
+        ids = [self.bytes.get(b) for b in char.encode()]
+        return [self.unknown] if None in ids or not ids else ids
+
+    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs that leave a place of the lattice, short ones first."""
+        (_, after), out = self.trie, []
+        for j, c in enumerate(text[i : i + self.longest], i + 1):
+            node = after.get(c)
+            if node is None:
+                break
+            piece, after = node
+            if piece is not None:
+                out.append((j, piece))
+        if not out and text[i] not in self.ids or out and out[0][0] > i + 1:
+            out.insert(0, (i + 1, CHARACTER))
+        return out
+
+    def _only_path(self, text: str) -> list[int]:
+        """With weights 0 and infinity a complete path of weight 0 is shortest: depth first, longest arcs first. A place
+        has one state of finite weight, so a place that was left without success isn't entered again."""
+        n, size, pairs = len(text), self.size, self.pairs
+        taken: list[tuple[int, int, list]] = []
+        failed: set[int] = set()
+        i, last, arcs = 0, START, self._arcs(text, 0) if text else []
+        while i < n:
+            while arcs:
+                j, piece = arcs.pop()
+                if j in failed:
+                    continue
+                if piece == CHARACTER:
+                    break
+                weight = pairs.get((last + 1) * size + piece) if last >= 0 else None
+                if (self.weight(last, piece) if weight is None else weight) == 0.0:
+                    break
+            else:
+                failed.add(i)
+                i, last, arcs = taken.pop()
+                continue
+            taken.append((i, last, arcs))
+            i, last = j, piece
+            arcs = self._arcs(text, i) if i < n else []
+        starts = [x[0] for x in taken] + [n]
+        pieces = [x[1] for x in taken[1:]] + [last]
+        ids: list[int] = []
+        for k, piece in enumerate(pieces if taken else []):
+            if piece == CHARACTER:
+                ids += self._fallback(text[starts[k] : starts[k + 1]])
+            else:
+                ids.append(piece)
+        return ids
+
+    def _best_path(self, text: str) -> list[int]:
         n = len(text)
         cost, last, back = [math.inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
-        trie, weight = self.trie, self.weight
         for i in range(n):
-            here, t = cost[i], last[i]
-            if here == math.inf:
-                continue
-            node, j = trie, i
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                piece = node.get(END)
-                if piece is not None and (total := here + weight(t, piece)) < cost[j]:
+            for j, piece in self._arcs(text, i):
+                total = cost[i] + (self.unknown_cost if piece == CHARACTER else self.weight(last[i], piece))
+                if total < cost[j]:
                     cost[j], last[j], back[j] = total, piece, i
-            if text[i] not in self.ids and (total := here + (0.0 if self.bpe else self.unknown_cost)) < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = total, CHARACTER, i
         ids: list[int] = []
         while n:
-            if last[n] == CHARACTER:
-                fallback = [self.bytes.get(b) for b in text[back[n] : n].encode()]
-                ids += [self.unknown] if None in fallback or not fallback else fallback[::-1]
-            else:
-                ids.append(last[n])
+            ids += self._fallback(text[back[n] : n])[::-1] if last[n] == CHARACTER else [last[n]]
             n = back[n]
         return ids[::-1]
 
     def _stretch_ids(self, text: str) -> bytes:
-        ids = np.array(self.path(text), dtype="<u4").tobytes()
+        """The ids of a stretch that isn't among the ones just used."""
+        ids = self.older.get(text)
+        if ids is None:
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.bigrams]  # no piece spans these
+            parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            if cuts:
+                ids = b"".join([self.known.get(p) or self._stretch_ids(p) for p in parts])
+            else:
+                path = self.path(text)
+                ids = struct.pack(f"<{len(path)}I", *path)
         if len(text) <= REMEMBER_CHARS:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
+            if len(self.known) >= REMEMBER // 2:
+                self.known, self.older = {}, self.known
             self.known[text] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        known, ids = self.known, self._stretch_ids
-        return b"".join([known.get(s) or ids(s) for s in self.stretch.findall(self.normalize(text))])
+        ids = self._stretch_ids
+        return b"".join([self.known.get(s) or ids(s) for s in self.stretch.findall(self.normalize(text))])
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
