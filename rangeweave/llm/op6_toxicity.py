@@ -1,113 +1,210 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other; each model sees the words of a text and the probabilities of the
-categories before it. While fitting, those probabilities are out-of-fold: of models that have not seen the row. The
-labels table has two categories, low quality (quality 0) and toxic; the chain runs in that order, and takes any list.
-
-Words (ASCII letters in lower case; letters, digits and all characters beyond ASCII) are hashed to ``FEATURES`` columns
-that hold 1 where a word occurs. Models are fitted on at most ``TRAIN_ROWS`` labelled rows, those whose doc_id has the
-smallest hashes; every document is scored. All of it runs as Spark ML jobs.
-
-Edge cases: a null or empty text has no words and gets the models' intercepts. Labels that are null, of no document or
-without a doc_id don't count; of several labels for one doc_id the largest counts; of several documents with one doc_id
-each is a row. Without labelled rows, or with one class, a category's probability is its share among them (0 for
-none). Repeated rows and null ids give a row each; extra columns are not carried.
+Categories are predicted one after the other; each model sees the words of a text, a few numbers about its shape, and the
+probabilities of the categories before it. While fitting, those probabilities are out-of-fold: of models that have not
+seen the row. The labels table has two categories, low quality (quality 0) and toxic; the chain runs in that order, and
+takes any list.
+
+A model is a logistic regression with a ridge, fitted by Newton steps, on the words whose share differs most between the
+classes (a two-sample z of ``MIN_Z`` or more, ``MAX_WORDS`` at most). It is fitted in one task per category and fold on
+at most ``TRAIN_ROWS`` labelled rows, those whose doc_id has the smallest hashes. Every document is scored.
+
+Words are runs of ASCII letters (in lower case), digits and all characters beyond ASCII.
+
+Edge cases: a null or empty text has no words and is scored by the rest. Labels that are null, of no document or without
+a doc_id don't count; of several labels for one doc_id the largest counts; of several documents with one doc_id each is
+a row. Without labelled rows, or with one class, a category's probability is its share among them (0 for none).
+Repeated rows and null ids give a row each; extra columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import ascii_lower, table, whole, written
+from rangeweave.llm.common import table, whole, written
+from rangeweave.llm.hashing import words
 
-FEATURES = 1 << 16
 TRAIN_ROWS = 20_000
 FOLDS = 3
-THRESHOLD = 0.5
-#: L1: few of the many words tell.
-REGULARIZATION, L1 = 3e-4, 1.0
-ITERATIONS = 100
+#: The group of rows that the final models are fitted on.
+ALL = -1
+#: Probabilities from which a category is given; the toxic class is small, and its model sure of those it gives.
+THRESHOLDS = {"low_quality": 0.5, "toxic": 0.25}
+MIN_Z, MIN_ROWS, MAX_WORDS = 4.0, 5, 256
+RIDGE, STEPS = 1.0, 20
 #: Category: its mark (1 or 0) as an SQL expression over the labels table.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def featurize(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its words as a sparse vector ``words``; the text goes."""
-    tokens = F.regexp_extract_all(ascii_lower(whole(F.col(text))), F.lit(_WORD), F.lit(0))
-    return HashingTF(inputCol="__tokens", outputCol="words", numFeatures=FEATURES, binary=True).transform(docs.withColumn("__tokens", tokens)).drop("__tokens", text)
-
-
-class Link:
-    """One model of the chain: :meth:`apply` adds its probability as column ``p_<category>``."""
-
-    def __init__(self, category: str, before: Sequence[str]):
-        self.name, self.before = f"p_{category}", [f"p_{b}" for b in before]
-        self.model, self.share = None, 0.0
-
-    def _seen(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=["words", *self.before], outputCol="__seen").transform(rows)
-
-    def fit(self, rows: DataFrame, label: str) -> Link:
-        share = rows.agg(F.avg(label)).first()[0]
-        self.share = share or 0.0
-        if share is not None and 0 < share < 1:
-            fitter = LogisticRegression(featuresCol="__seen", labelCol=label, regParam=REGULARIZATION, elasticNetParam=L1, maxIter=ITERATIONS, standardization=False)
-            self.model = fitter.fit(self._seen(rows))
+_UPPER = bytes(range(65, 91))
+_SYMBOLS = b"#*$%&|<>!{}[]@^~=+/\\"
+
+
+def distinct_words(texts: Sequence[bytes]) -> list[np.ndarray]:
+    """The sorted hashes of each text's words, each once."""
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    for hashes, whose, *_ in words(texts):
+        starts = np.flatnonzero(np.diff(whose, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(whose)), strict=False):
+            parts[int(whose[a])].append(hashes[a:b])
+    none = np.zeros(0, np.uint64)
+    return [np.unique(np.concatenate(p)) if p else none for p in parts]
+
+
+def shapes(texts: Sequence[bytes], found: Sequence[np.ndarray]) -> np.ndarray:
+    """Per text: logs of its bytes and distinct words, shares of capitals and symbols, distinct words a byte."""
+    n = np.array([len(t) for t in texts], float)
+    d = np.array([len(f) for f in found], float)
+    upper = np.array([len(t) - len(t.translate(None, _UPPER)) for t in texts], float)
+    symbols = np.array([len(t) - len(t.translate(None, _SYMBOLS)) for t in texts], float)
+    per = np.maximum(n, 1)
+    return np.stack([np.log1p(n), np.log1p(d), upper / per, symbols / per, d / per], axis=1)
+
+
+class Model:
+    """One category's probability from words and numbers; a constant without two classes."""
+
+    def __init__(self, share: float):
+        self.share = share
+        self.vocabulary = np.zeros(0, np.uint64)
+        self.weights: np.ndarray | None = None
+
+    def design(self, found: Sequence[np.ndarray], numbers: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(found), len(self.vocabulary)), np.float32)
+        sizes = np.array([len(f) for f in found])
+        if len(self.vocabulary) and sizes.sum():
+            every, row = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
+            at = np.minimum(np.searchsorted(self.vocabulary, every), len(self.vocabulary) - 1)
+            hit = self.vocabulary[at] == every
+            x[row[hit], at[hit]] = 1
+        scaled = (numbers - self.center) / self.scale
+        return np.concatenate([x, scaled.astype(np.float32), np.ones((len(found), 1), np.float32)], axis=1)
+
+    def fit(self, found: Sequence[np.ndarray], numbers: np.ndarray, y: np.ndarray) -> Model:
+        self.center, self.scale = numbers.mean(axis=0), np.maximum(numbers.std(axis=0), 1e-9)
+        every, marks = np.concatenate(found), np.repeat(y, [len(f) for f in found])
+        known, at = np.unique(every, return_inverse=True)
+        rows, bad = np.bincount(at, minlength=len(known)), np.bincount(at, weights=marks, minlength=len(known))
+        n1, n0 = y.sum(), len(y) - y.sum()
+        p = rows / len(y)
+        z = (bad / n1 - (rows - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        able = np.flatnonzero((np.abs(z) >= MIN_Z) & (rows >= MIN_ROWS))
+        self.vocabulary = np.sort(known[able[np.argsort(-np.abs(z[able]), kind="stable")][:MAX_WORDS]])
+        x = self.design(found, numbers).astype(np.float64)
+        ridge = np.full(x.shape[1], RIDGE)
+        ridge[-1] = 0.0
+        w = np.zeros(x.shape[1])
+        w[-1] = np.log(self.share / (1 - self.share))
+        for _ in range(STEPS):
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (y - q) - ridge * w
+            step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge + 1e-6), slope)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+        self.weights = w
         return self
 
-    def apply(self, rows: DataFrame) -> DataFrame:
-        if self.model is None:
-            return rows.withColumn(self.name, F.lit(float(self.share)))
-        out = self.model.setProbabilityCol("__p").setRawPredictionCol("").setPredictionCol("").transform(self._seen(rows))
-        return out.withColumn(self.name, F.get(vector_to_array("__p"), F.lit(1))).drop("__p", "__seen")
+    def predict(self, found: Sequence[np.ndarray], numbers: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(found), float(self.share))
+        return 1 / (1 + np.exp(-np.clip(self.design(found, numbers) @ self.weights, -30, 30)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(fold, words, y_<category>...) of the rows that models are fitted on."""
+    """(place, fold, words, numbers, y_<category>...) of the rows that models are fitted on."""
     names = [f"y_{c}" for c in categories]
     marks = labels.where("doc_id IS NOT NULL").select("doc_id", *[F.expr(x).cast("double").alias(n) for n, x in zip(names, categories.values(), strict=True)]).dropna()
     marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     few = marks.select(F.col("doc_id").alias("__id"), *names).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id"))  # train_rows rows at most
-    return written(featurize(rows).select(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).alias("fold"), "words", *names))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("place"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), whole(F.col("text")).cast("binary").alias("t"), *names)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["t"].tolist()
+            found = distinct_words(texts)
+            out = b.drop(columns="t")
+            out.insert(2, "words", [f.view(np.int64) for f in found])
+            out.insert(3, "numbers", list(shapes(texts, found)))
+            yield out
 
-def fit_chain(train: DataFrame, categories: Sequence[str]) -> list[Link]:
+    return written(rows.mapInPandas(run, "place long, fold int, words array<long>, numbers array<double>, " + ", ".join(f"{n} double" for n in names)))
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], np.stack(rows["numbers"].to_list()).astype(float)
+
+
+def _fit_groups(train: DataFrame, label: str, folds: bool) -> dict[int, Model]:
+    """Models by fold that were fitted without it, and the one of all rows: a task for each."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", kind="stable")
+        y = rows[label].to_numpy(float)
+        model = Model(float(y.mean()))
+        if 0 < model.share < 1:
+            model.fit(*_arrays(rows), y)
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "model": [pickle.dumps(model)]})
+
+    parts = F.array(F.lit(ALL), *[F.when(F.col("fold") != f, f) for f in range(FOLDS if folds else 0)])
+    spread = train.select("*", F.explode(F.array_compact(parts)).alias("part"))
+    return {r["part"]: pickle.loads(bytes(r["model"])) for r in spread.groupBy("part").applyInPandas(one, "part int, model binary").collect()}  # FOLDS + 1 models
+
+
+def fit_chain(train: DataFrame, categories: Sequence[str]) -> list[Model]:
     """The models, in order. ``train`` gains each category's out-of-fold probability before the next is fitted."""
     chain = []
     for k, category in enumerate(categories):
-        before, label = categories[:k], f"y_{category}"
-        chain.append(Link(category, before).fit(train, label))
-        if k + 1 < len(categories):
-            parts = [Link(category, before).fit(train.where(F.col("fold") != f), label).apply(train.where(F.col("fold") == f)) for f in range(FOLDS)]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            train = written(out)
+        last = k + 1 == len(categories)
+        models = _fit_groups(train, f"y_{category}", not last)
+        chain.append(models.get(ALL, Model(0.0)))
+        if not last:
+
+            def extend(batches: Iterator[pd.DataFrame], models: dict[int, Model] = models) -> Iterator[pd.DataFrame]:
+                for rows in batches:
+                    found, numbers = _arrays(rows)
+                    fold = rows["fold"].to_numpy()
+                    p = np.zeros(len(rows))
+                    for f in np.unique(fold):
+                        at = np.flatnonzero(fold == f)
+                        p[at] = models.get(int(f), models[ALL]).predict([found[i] for i in at], numbers[at])
+                    yield rows.assign(numbers=list(np.column_stack([numbers, p])))
+
+            train = written(train.mapInPandas(extend, train.schema))
     return chain
 
 
-def score(docs: DataFrame, chain: Sequence[Link]) -> DataFrame:
+def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) -> DataFrame:
     """(doc_id, p_<category>...) of every document."""
-    rows = featurize(docs.select("doc_id", "text"))
-    for link in chain:
-        rows = link.apply(rows)
-    return rows.drop("words")
+    names = [f"p_{c}" for c in categories]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for a in range(0, len(rows), 512):
+                part = rows.iloc[a : a + 512]
+                texts = part["t"].tolist()
+                found = distinct_words(texts)
+                numbers = shapes(texts, found)
+                out = {"doc_id": part["doc_id"]}
+                for name, model in zip(names, chain, strict=True):
+                    out[name] = p = model.predict(found, numbers)
+                    numbers = np.column_stack([numbers, p])
+                yield pd.DataFrame(out)
+
+    return docs.select("doc_id", whole(F.col("text")).cast("binary").alias("t")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
     categories = categories or CATEGORIES
     chain = fit_chain(labelled(docs, labels, categories), list(categories))
-    return score(docs, chain)
+    return score(docs, chain, list(categories))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_low_quality") >= THRESHOLD).alias("low_quality"), (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", *[(F.col(f"p_{c}") >= t).alias(c) for c, t in THRESHOLDS.items()])

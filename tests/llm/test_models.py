@@ -95,12 +95,13 @@ def test_chain_on_held_out_rows(spark):
     fitted = labels.where("doc_id % 3 <> 0")
     held = {r["doc_id"]: r for r in labels.where("doc_id % 3 = 0").collect()}
     got = by_id(op6_toxicity.classify(docs, fitted), "p_low_quality", "p_toxic")
-    right = [(got[i][1] >= 0.5) == bool(r["toxic"]) for i, r in held.items()]
-    assert len(right) > 100 and sum(right) / len(right) >= 0.95
+    right = [(got[i][1] >= op6_toxicity.THRESHOLDS["toxic"]) == bool(r["toxic"]) for i, r in held.items()]
+    assert len(right) > 1000 and sum(right) / len(right) >= 0.97
     ranked = sorted((got[i][1], r["toxic"]) for i, r in held.items())
     bad = sum(t for _, t in ranked)
     auc = sum(sum(1 for _, u in ranked[:k] if not u) for k, (_, t) in enumerate(ranked) if t) / (bad * (len(ranked) - bad))
-    assert auc >= 0.95
+    assert auc >= 0.98
+    assert sum((got[i][0] >= 0.5) == (r["quality"] == 0) for i, r in held.items()) / len(held) >= 0.98
 
 
 def test_chain_edges(spark):
