@@ -50,6 +50,7 @@ def _covered(hashes: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with a struct ``__q`` of the measures and the base verdict."""
     t, words, hashes = F.col("__t"), F.col("__words"), F.col("__hashes")
+    n = F.size(words) - 2
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
     measured = (
         docs.withColumn("__t", whole(F.col(text)))
@@ -57,7 +58,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn(
             "__hashes",
             F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(
-                F.transform(F.slice(words, 1, F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+                F.zip_with(
+                    F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                    F.slice(words, 3, n),
+                    lambda p, c: F.xxhash64(p["a"], p["b"], c),
+                )
             ),
         )
         .withColumn("__lines", lines)
@@ -122,9 +127,10 @@ def filter_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFra
 
     Rules are measured twice, once for the hosts and once for the verdict, so that no text is written or shuffled.
     """
-    judged = measure(docs)
+    # a row number that the filter reads keeps the filter, and with it a second evaluation of the rules, above them
+    judged = measure(docs).withColumn("__row", F.monotonically_increasing_id())
     hosts = written(host_verdicts(judged.select(F.col("source").alias("__source"), F.col("__q.base_failed").alias("failed")), "__source", "failed", host_limit))
-    kept = _with_verdicts(judged.where(~F.col("__q.base_failed")), hosts, "source")
+    kept = _with_verdicts(judged.where(~F.col("__q.base_failed") & (F.col("__row") >= 0)), hosts, "source")
     return kept.where(F.coalesce("__host.host_kept", F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
