@@ -45,7 +45,8 @@ def read_schemas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_schemas(schemas: DataFrame, path: str) -> None:
-    schemas.select("name", "meta").coalesce(1).write.mode("overwrite").json(path)  # a catalog, not data
+    """One JSON array, as :func:`read_schemas` takes it."""
+    schemas.agg(F.to_json(F.collect_list(F.struct("name", "meta"))).alias("value")).write.mode("overwrite").text(path)  # a catalog, not data
 
 
 def write_series(rows: DataFrame, path: str) -> None:
