@@ -75,17 +75,17 @@ def _pairs(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), a.alias("a"), b.alias("b"))
 
 
-@query("range_overlap", f"SELECT n, NOT {_NONE} AS overlaps FROM {_PAIRS}")
+@query("range_overlap", f"SELECT n, NOT {_NONE} AS meets FROM {_PAIRS}")
 def range_overlap(spark, d):
-    return _pairs(spark, d).select("n", R.overlaps(F.col("a"), F.col("b")).alias("overlaps"))
+    return _pairs(spark, d).select("n", R.overlaps(F.col("a"), F.col("b")).alias("meets"))
 
 
 @query(
     "range_intersect",
-    f"SELECT n, CASE WHEN {_NONE} THEN '(00,00)' ELSE CASE WHEN {_LC} THEN '[' ELSE '(' END || printf('%08X', {_LOW}) || ',' || printf('%08X', {_HIGH}) || CASE WHEN {_HC} THEN ']' ELSE ')' END END AS both FROM {_PAIRS}",
+    f"SELECT n, CASE WHEN {_NONE} THEN '(00,00)' ELSE CASE WHEN {_LC} THEN '[' ELSE '(' END || printf('%08X', {_LOW}) || ',' || printf('%08X', {_HIGH}) || CASE WHEN {_HC} THEN ']' ELSE ')' END END AS common FROM {_PAIRS}",
 )
 def range_intersect(spark, d):
-    return _pairs(spark, d).select("n", R.text(R.intersect(F.col("a"), F.col("b"))).alias("both"))
+    return _pairs(spark, d).select("n", R.text(R.intersect(F.col("a"), F.col("b"))).alias("common"))
 
 
 @query(

@@ -27,7 +27,7 @@ def ordered(rows):
 def test_query(spark, sf_dir, oracle, name):
     got = QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
-    want = oracle.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
+    want = oracle.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({SQL[name]})").fetchall()
     assert ordered(tuple(r[c] for c in columns) for r in got.collect()) == ordered(want)
 
 
