@@ -4,7 +4,8 @@ Besides the base patterns (assign, access, hex), each text is read as source or
 ``name: expression``, ``name := expression`` and ``name => expression`` give name-literal pairs, whatever the language.
 An expression is a chain of quoted literals, bare words and names joined by ``+``. Names assigned earlier in the text
 stand for their literals (constant propagation), so the literal behind ``KEY = "..."; password = KEY`` is scored by
-``password``. A literal's score is that of the most sensitive name it reaches, raised by its mix of characters;
+``password``. Chains have any number of terms, and scores go back from name to name once, at the end of the text.
+A literal's score is that of the most sensitive name it reaches, raised by its mix of characters, all of them counted;
 literals that score ``THRESHOLD`` or more become spans of kind ``named`` at the place they are written.
 
 Edge cases: a null or empty text has no spans, counts of zero and the SHA-256 of the empty string. Repeated rows and
@@ -70,7 +71,7 @@ def _sensitivity(name: str) -> int:
 def _mix(literal: str) -> int:
     """0 to 30: bits of entropy per character, six of them being the most that count."""
     n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal[:4096]).values()) if n <= 4096 else 6.0
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     return round(5 * min(6.0, bits))
 
 
@@ -78,29 +79,38 @@ def named_literals(text: str) -> list[tuple[int, int, int]]:
     """(start, end, score) of the literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
-    best: dict[tuple[int, int], int] = {}
+    known: dict[str, int] = {}  # the last assignment of each name
+    chains: list[tuple[int, list[tuple[int, int]], list[int]]] = []  # sensitivity, own literals, earlier assignments
     for m in _NAME.finditer(text):
-        at, parts = m.end(), []
+        at, parts, names = m.end(), [], []
         while term := _TERM.match(text, at):
             if term["n"] is not None and term["n"] in known:
-                parts += known[term["n"]][:16]
+                names.append(known[term["n"]])
             else:
                 group = next(g for g in "dsnb" if term[g] is not None)
                 parts.append(term.span(group))
             at = term.end()
             plus = _PLUS.match(text, at)
-            if not plus or len(parts) > 16:
+            if not plus:
                 break
             at = plus.end()
-        if not parts:
+        if not parts and not names:
             continue
-        known[m[1]] = tuple(parts)
-        if score := _sensitivity(m[1]):
-            for start, end in parts:
-                literal = text[start:end]
-                if len(literal) >= MIN_LITERAL and not _PLACEHOLDER.fullmatch(literal):
-                    best[start, end] = max(best.get((start, end), 0), score + _mix(literal))
+        known[m[1]] = len(chains)
+        chains.append((_sensitivity(m[1]), parts, names))
+    reached = [score for score, _, _ in chains]
+    best: dict[tuple[int, int], int] = {}
+    for k in range(len(chains) - 1, -1, -1):  # names stand for earlier assignments only, so all that reaches k is done
+        score = reached[k]
+        for j in chains[k][2]:
+            reached[j] = max(reached[j], score)
+        if score:
+            for span in chains[k][1]:
+                best[span] = max(best.get(span, 0), score)
+    for (start, end), score in list(best.items()):
+        literal = text[start:end]
+        able = end - start >= MIN_LITERAL and score + 30 >= THRESHOLD and not _PLACEHOLDER.fullmatch(literal)
+        best[start, end] = score + _mix(literal) if able else 0
     return sorted((start, end, min(100, score)) for (start, end), score in best.items() if score >= THRESHOLD)
 
 

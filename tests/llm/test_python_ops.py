@@ -231,5 +231,21 @@ def test_assignments_and_constants():
     assert literals("password = ${DB_PASSWORD}\nsecret: <your secret>\ntoken = changeme\nif password == 'qwertyuiop12': pass") == []
 
 
+def test_secrets_of_long_chains_and_literals():
+    def named(text):
+        return [text[a:b] for a, b, _ in op9_secrets.named_literals(text)]
+
+    parts = [f"Zx{i:02d}qW9rT{i * 7 % 10}" for i in range(40)]
+    chain = " + ".join(f'"{p}"' for p in parts)
+    assert named(f"password = {chain}") == parts
+    assert named(f"K = {chain}\nL = K\npassword = L + K") == parts
+    names = "".join(f'n{i} = "{p}"\n' for i, p in enumerate(parts))
+    assert named(names + "password = " + " + ".join(f"n{i}" for i in range(40))) == parts
+    for n in (4096, 4097, 9000):
+        assert named(f'author = "{"ab" * n}"'[: n + 10] + '"') == []
+    doubled = 'a0 = "Zx81qW9rT5"\n' + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, 60)) + "password = a59"
+    assert named(doubled) == ["Zx81qW9rT5"]
+
+
 def test_secrets_empty(spark):
     assert op9_secrets.scan(documents(spark, ["x"]).limit(0)).count() == 0
