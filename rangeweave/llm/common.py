@@ -47,3 +47,13 @@ def ascii_lower(text: Column) -> Column:
 def whole(text: Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(text, F.lit(""))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row): the rows of ``docs`` as a struct each, so that no column of theirs clashes with one that is added."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def fields(docs: DataFrame, other: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``docs`` out of a packed ``row``, some of them given anew."""
+    return [(other or {}).get(c, F.col("row")[c]).alias(c) for c in docs.columns]

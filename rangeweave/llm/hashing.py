@@ -1,7 +1,8 @@
 """Hashes of all words of a batch of texts at once, with numpy.
 
 A word's hash is a polynomial in its bytes: with prefix sums over a buffer, each word costs two look-ups, so nothing
-loops over words or characters in Python. Buffers hold about ``CHUNK`` bytes, whatever the length of a text.
+loops over words or characters in Python. Buffers hold about ``CHUNK`` bytes, whatever the length of a text; a longer word
+is hashed buffer by buffer, so its hash doesn't depend on where it stands.
 """
 
 from __future__ import annotations
@@ -50,17 +51,31 @@ def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def _pieces(texts: Sequence[bytes]) -> Iterator[tuple[int, int, bytes]]:
     """(number of the text, line feeds before the part, part of the text with bytes mapped).
 
-    Parts end before a separator; a run of over ``CHUNK`` bytes without one counts as several words.
+    Parts end before a separator, so no word is cut: a word of over ``CHUNK`` bytes makes a longer part of its own.
     """
     for k, text in enumerate(texts):
         text, at, lines = text.translate(WORD_TABLE), 0, 0
         while len(text) - at > CHUNK:
             cut = max(text.rfind(b" ", at + 1, at + CHUNK), text.rfind(b"\n", at + 1, at + CHUNK))
-            cut = at + CHUNK if cut < 0 else cut
+            if cut < 0:
+                cut = min((c for c in (text.find(b" ", at + CHUNK), text.find(b"\n", at + CHUNK)) if c >= 0), default=len(text))
             yield k, lines, text[at:cut]
             lines += text.count(b"\n", at, cut)
             at = cut
-        yield k, lines, text[at:] if at else text
+        if at < len(text) or not at:
+            yield k, lines, text[at:] if at else text
+
+
+def _long(part: tuple[int, int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The one word of a part of over ``CHUNK`` bytes, its polynomial carried from buffer to buffer."""
+    k, lines, data = part
+    word = data.lstrip(b" \n")
+    total = 0
+    for at in range(0, len(word), CHUNK):
+        values = np.frombuffer(word[at : at + CHUNK], dtype=np.uint8).astype(np.uint64)
+        total += pow(int(_BASE), at, 1 << 64) * int(polynomial(values, np.array([0]), np.array([len(values)]))[0])
+    line = lines + data[: len(data) - len(word)].count(b"\n")
+    return mix(np.array([total % (1 << 64)], dtype=np.uint64)), np.array([k]), np.array([line]), np.array([len(word)])
 
 
 def _hashed(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +97,9 @@ def words(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         if parts and size + len(part[2]) > CHUNK:
             yield _hashed(parts)
             parts, size = [], 0
+        if len(part[2]) > CHUNK:
+            yield _long(part)
+            continue
         parts.append(part)
         size += len(part[2]) + 1
     if parts:
