@@ -7,13 +7,15 @@ takes any list.
 
 A model is a logistic regression with a ridge, fitted by Newton steps, on the words whose share differs most between the
 classes (a two-sample z of ``MIN_Z`` or more, ``MAX_WORDS`` at most). It is fitted in one task per category and fold on
-at most ``TRAIN_ROWS`` labelled rows, those whose doc_id has the smallest hashes. Every document is scored.
+at most ``TRAIN_ROWS`` labelled texts, those whose doc_id has the smallest hashes. A category is given from the threshold
+on that serves its out-of-fold probabilities best (:func:`best_threshold`). Every document is scored.
 
 Words are runs of ASCII letters (in lower case), digits and all characters beyond ASCII.
 
 Edge cases: a null or empty text has no words and is scored by the rest. Labels that are null, of no document or without
 a doc_id don't count; of several labels for one doc_id the largest counts; of several documents with one doc_id each is
-a row. Without labelled rows, or with one class, a category's probability is its share among them (0 for none).
+a row, but equal ones are fitted on once. Without labelled rows, or with one class, a category's probability is its share
+among them (0 for none) and its threshold 0.5.
 Repeated rows and null ids give a row each; extra columns are not carried.
 """
 
@@ -34,9 +36,7 @@ TRAIN_ROWS = 20_000
 FOLDS = 3
 #: The group of rows that the final models are fitted on.
 ALL = -1
-#: Probabilities from which a category is given; the toxic class is small, and its model sure of those it gives.
-THRESHOLDS = {"low_quality": 0.5, "toxic": 0.25}
-MIN_Z, MIN_ROWS, MAX_WORDS = 4.0, 5, 256
+MIN_Z, MIN_ROWS, MAX_WORDS = 4.0, 5, 1024
 RIDGE, STEPS = 1.0, 20
 #: Category: its mark (1 or 0) as an SQL expression over the labels table.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -70,6 +70,7 @@ class Model:
 
     def __init__(self, share: float):
         self.share = share
+        self.threshold = 0.5
         self.vocabulary = np.zeros(0, np.uint64)
         self.weights: np.ndarray | None = None
 
@@ -120,9 +121,11 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], tra
     names = [f"y_{c}" for c in categories]
     marks = labels.where("doc_id IS NOT NULL").select("doc_id", *[F.expr(x).cast("double").alias(n) for n, x in zip(names, categories.values(), strict=True)]).dropna()
     marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
-    few = marks.select(F.col("doc_id").alias("__id"), *names).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id"))  # train_rows rows at most
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("place"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), whole(F.col("text")).cast("binary").alias("t"), *names)
+    place = F.xxhash64("doc_id", "text").alias("place")
+    few = docs.select("doc_id", place).join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "place").limit(train_rows)
+    few = F.broadcast(few.withColumnsRenamed({"doc_id": "__id", "place": "__place"}))  # train_rows rows of numbers at most
+    rows = docs.select("doc_id", "text", place).join(few, (F.col("doc_id") == F.col("__id")) & (F.col("place") == F.col("__place"))).dropDuplicates(["place"])
+    rows = rows.select("place", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), whole(F.col("text")).cast("binary").alias("t"), *names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -140,7 +143,7 @@ def _arrays(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], np.stack(rows["numbers"].to_list()).astype(float)
 
 
-def _fit_groups(train: DataFrame, label: str, folds: bool) -> dict[int, Model]:
+def _fit_groups(train: DataFrame, label: str) -> dict[int, Model]:
     """Models by fold that were fitted without it, and the one of all rows: a task for each."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,36 +154,50 @@ def _fit_groups(train: DataFrame, label: str, folds: bool) -> dict[int, Model]:
             model.fit(*_arrays(rows), y)
         return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "model": [pickle.dumps(model)]})
 
-    parts = F.array(F.lit(ALL), *[F.when(F.col("fold") != f, f) for f in range(FOLDS if folds else 0)])
+    parts = F.array(F.lit(ALL), *[F.when(F.col("fold") != f, f) for f in range(FOLDS)])
     spread = train.select("*", F.explode(F.array_compact(parts)).alias("part"))
     return {r["part"]: pickle.loads(bytes(r["model"])) for r in spread.groupBy("part").applyInPandas(one, "part int, model binary").collect()}  # FOLDS + 1 models
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on the harmonic mean of precision and recall is best; of equals the one in the middle
+    between it and the next lower probability. 0.5 where there aren't two classes."""
+    if not len(y) or not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    ends = np.flatnonzero(np.append(p[1:] != p[:-1], True))
+    k = ends[np.argmax(2 * hits[ends] / (ends + 1 + y.sum()))]
+    return float((p[k] + p[k + 1]) / 2) if k + 1 < len(p) else float(p[k])
+
+
 def fit_chain(train: DataFrame, categories: Sequence[str]) -> list[Model]:
-    """The models, in order. ``train`` gains each category's out-of-fold probability before the next is fitted."""
+    """The models, in order, each with its threshold. ``train`` gains each category's out-of-fold probability before the
+    next is fitted."""
     chain = []
-    for k, category in enumerate(categories):
-        last = k + 1 == len(categories)
-        models = _fit_groups(train, f"y_{category}", not last)
-        chain.append(models.get(ALL, Model(0.0)))
-        if not last:
-
-            def extend(batches: Iterator[pd.DataFrame], models: dict[int, Model] = models) -> Iterator[pd.DataFrame]:
-                for rows in batches:
-                    found, numbers = _arrays(rows)
-                    fold = rows["fold"].to_numpy()
-                    p = np.zeros(len(rows))
-                    for f in np.unique(fold):
-                        at = np.flatnonzero(fold == f)
-                        p[at] = models.get(int(f), models[ALL]).predict([found[i] for i in at], numbers[at])
-                    yield rows.assign(numbers=list(np.column_stack([numbers, p])))
-
-            train = written(train.mapInPandas(extend, train.schema))
+    for category in categories:
+        models = _fit_groups(train, f"y_{category}")
+        model = models.get(ALL, Model(0.0))
+        chain.append(model)
+
+        def extend(batches: Iterator[pd.DataFrame], models: dict[int, Model] = models) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                found, numbers = _arrays(rows)
+                fold = rows["fold"].to_numpy()
+                p = np.zeros(len(rows))
+                for f in np.unique(fold):
+                    at = np.flatnonzero(fold == f)
+                    p[at] = models.get(int(f), models[ALL]).predict([found[i] for i in at], numbers[at])
+                yield rows.assign(numbers=list(np.column_stack([numbers, p])))
+
+        train = written(train.mapInPandas(extend, train.schema))
+        seen = train.select(F.element_at("numbers", -1).alias("p"), F.col(f"y_{category}").alias("y")).toPandas()  # two numbers for each row fitted on
+        model.threshold = best_threshold(seen["p"].to_numpy(float), seen["y"].to_numpy(float))
     return chain
 
 
 def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) -> DataFrame:
-    """(doc_id, p_<category>...) of every document."""
+    """(doc_id, p_<category>..., <category>...) of every document."""
     names = [f"p_{c}" for c in categories]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,9 +211,11 @@ def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) ->
                 for name, model in zip(names, chain, strict=True):
                     out[name] = p = model.predict(found, numbers)
                     numbers = np.column_stack([numbers, p])
+                for c, name, model in zip(categories, names, chain, strict=True):
+                    out[c] = out[name] >= model.threshold
                 yield pd.DataFrame(out)
 
-    return docs.select("doc_id", whole(F.col("text")).cast("binary").alias("t")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    return docs.select("doc_id", whole(F.col("text")).cast("binary").alias("t")).mapInPandas(run, "doc_id long, " + ", ".join([f"{n} double" for n in names] + [f"{c} boolean" for c in categories]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
@@ -206,5 +225,4 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | No
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "p_low_quality", "p_toxic", *[(F.col(f"p_{c}") >= t).alias(c) for c, t in THRESHOLDS.items()])
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
