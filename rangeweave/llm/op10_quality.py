@@ -2,7 +2,7 @@
 
 Rules are measured per document. Their failures are then summed by host (``source``); each host's failure rate is
 shrunk towards the corpus rate with a beta prior fitted to all hosts by moments; a host whose shrunk rate reaches
-``host_limit`` is rejected, and that verdict is joined back to its documents.
+``host_limit`` is rejected, and that verdict is joined back to its documents. 3-word windows are compared by 64-bit hashes.
 
 Edge cases: a null text counts as empty and fails the rules. A null host has no verdict: its documents are judged by
 their own rules. Repeated rows are judged each by itself and all count for their host. :func:`filter_documents` keeps
@@ -85,20 +85,21 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def host_verdicts(judged: DataFrame, host: str, failed: str, host_limit: float) -> DataFrame:
     """(host, host_docs, host_failures, host_kept), one row per host that is not null.
 
-    The prior's mean is the corpus rate m; its strength M comes from the spread of the hosts' rates about m, weighted
-    by their documents (M = m(1-m)/v - 1, held within 1 and 1,000,000), so alpha = mM and beta = (1-m)M.
+    The prior's mean is the corpus rate m. Its strength M is that at which binomial draws from it would spread as the
+    hosts' rates do: with S the mean square of a host's rate about m, weighted by documents, N documents and K hosts,
+    r = (S / (m (1 - m)) - (K - 1) / N) / (1 - sum n^2 / N^2 - (K - 1) / N) and M = 1 / r - 1, held within 1 and
+    1,000,000 (which it is where hosts spread no more than chance lets them). So alpha = mM and beta = (1 - m)M.
     """
     n, f = F.col("host_docs"), F.col("host_failures")
     hosts = judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"), F.sum(F.col(failed).cast("bigint")).alias("host_failures")
     )
-    prior = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff")).select(
-        (F.col("f") / F.col("n")).alias("m"), (F.col("ff") / F.col("n") - F.pow(F.col("f") / F.col("n"), 2)).alias("v")
-    )
-    strength = F.when(F.col("v") <= 0, F.lit(1e6)).otherwise(
-        F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.when(F.col("v") > 0, F.col("v")) - 1))
-    )
-    prior = prior.select("m", strength.alias("strength"))
+    total, share = F.col("n"), F.col("m")
+    prior = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.sum(n.cast("double") * n).alias("nn"), F.count(F.lit(1)).alias("k"))
+    prior = prior.withColumn("m", F.col("f") / total).withColumn("noise", (F.col("k") - 1) / total)
+    above = F.when((share > 0) & (share < 1), (F.col("ff") / total - share * share) / (share * (1 - share)) - F.col("noise"))
+    room = 1 - F.col("nn") / total / total - F.col("noise")
+    prior = prior.select("m", F.when((above > 0) & (room > 0), F.greatest(F.lit(1.0), F.least(F.lit(1e6), room / above - 1))).otherwise(1e6).alias("strength"))
     return hosts.crossJoin(F.broadcast(prior)).select(  # the prior is one row
         "host", "host_docs", "host_failures", ((f + F.col("m") * F.col("strength")) / (n + F.col("strength")) < host_limit).alias("host_kept")
     )
@@ -125,13 +126,16 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 def filter_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass their own rules and whose host isn't rejected, with the columns of ``docs``.
 
-    Rules are measured twice, once for the hosts and once for the verdict, so that no text is written or shuffled.
+    Rules are measured once; the rows are written with their verdict (those that fail without their text) and wait there
+    for the hosts'.
     """
-    # a row number that the filter reads keeps the filter, and with it a second evaluation of the rules, above them
-    judged = measure(docs).withColumn("__row", F.monotonically_increasing_id())
-    hosts = written(host_verdicts(judged.select(F.col("source").alias("__source"), F.col("__q.base_failed").alias("failed")), "__source", "failed", host_limit))
-    kept = _with_verdicts(judged.where(~F.col("__q.base_failed") & (F.col("__row") >= 0)), hosts, "source")
-    return kept.where(F.coalesce("__host.host_kept", F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    host, text = (f"c{docs.columns.index(c)}" for c in ("source", "text"))
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that no name clashes
+    judged = measure(plain, text).withColumn("failed", F.col("__q.base_failed")).drop("__q")
+    judged = written(judged.withColumn(text, F.when(~F.col("failed"), F.col(text))))
+    hosts = written(host_verdicts(judged, host, "failed", host_limit))
+    kept = _with_verdicts(judged.where(~F.col("failed")), hosts, host).where(F.coalesce("__host.host_kept", F.lit(True)))
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +157,9 @@ m AS (SELECT w.rid, doc_id, source, len(ws)::BIGINT AS n_words,
   FROM w LEFT JOIN cov ON w.rid = cov.rid),
 j AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words) AS base_failed FROM m),
 h AS (SELECT source, count(*)::BIGINT AS n, sum(base_failed::BIGINT)::BIGINT AS f FROM j WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(f) / sum(n) AS m, sum(f::DOUBLE * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM h),
-s AS (SELECT m, CASE WHEN v <= 0 THEN 1e6 ELSE greatest(1.0, least(1e6, m * (1 - m) / v - 1)) END AS strength FROM p),
+p AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, sum(f::DOUBLE * f / n) AS ff, sum(n::DOUBLE * n) AS nn, (count(*) - 1) / sum(n) AS noise FROM h),
+q AS (SELECT m, CASE WHEN m > 0 AND m < 1 THEN (ff / n - m * m) / (m * (1 - m)) - noise END AS above, 1 - nn / n / n - noise AS room FROM p),
+s AS (SELECT m, CASE WHEN above > 0 AND room > 0 THEN greatest(1.0, least(1e6, room / above - 1)) ELSE 1e6 END AS strength FROM q),
 k AS (SELECT source, n, f, (f + m * strength) / (n + strength) < {HOST_LIMIT} AS ok FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(k.ok, true) AS kept, k.n AS host_docs, k.f AS host_failures
