@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import table, whole, written
+from rangeweave.llm.common import fields, packed, table, whole, written
 from rangeweave.llm.components import connected
 
 SEED = 42
@@ -141,12 +141,13 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id (then text hash), with all its columns."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("k")
-    kept = components(docs).groupBy("root").agg(first).select(F.col("k.none").alias("__none"), F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
-    keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64(whole(F.col("text")))})
-    keys = ["__none", "__id", "__h"]
+    keys = ["none", "id", "h"]
+    kept = components(docs).groupBy("root").agg(first).select(*[f"k.{c}" for c in keys])
+    at = packed(docs).select("row", F.col("row")["doc_id"].alias("doc_id"), F.xxhash64(whole(F.col("row")["text"])).alias("h"))
+    at = at.select("row", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
     once = Window.partitionBy(*keys).orderBy(*keys)
     # repeated rows share a key; SMJ leaves them side by side, so the window sorts and shuffles nothing anew
-    return keyed.join(kept, keys).withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return at.join(kept, keys).withColumn("n", F.row_number().over(once)).where("n = 1").select(*fields(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

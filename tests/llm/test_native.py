@@ -1,9 +1,14 @@
 """op1, op8 and op10 against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from rangeweave.llm import op1_chat, op8_pii, op10_quality
 from tests.llm.helpers import AWKWARD, by_id, documents, prose
 
@@ -36,9 +41,33 @@ def test_bad_host_goes_and_null_host_stays(spark):
     assert op10_quality.filter_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_host_verdicts_against_sql(spark, tmp_path, seed):
+    """Hosts of many sizes and rates, some of which reject documents that pass their own rules; null hosts and no hosts."""
+    r = random.Random(seed)
+    rows, k = [], 0
+    for h in range(40):
+        rate = r.choice([0.0, 0.3, 0.75, 0.82, 0.9, 1.0])
+        for _ in range(r.choice([1, 2, 5, 30, 120])):
+            k += 1
+            rows.append((k, "too short" if r.random() < rate else prose(k, 60, 10_000), f"h{h}.example" if h else None))
+    for part, decides in ((rows, True), (rows[:0], False), ([(i, "x", "one") for i in range(9)], False)):
+        path = str(tmp_path / f"documents-{len(part)}")
+        spark.createDataFrame(part, "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+        got = op10_quality.judge(spark.read.parquet(path))
+        names = got.columns
+        sql = op10_quality.SQL.replace("FROM documents", f"FROM read_parquet('{path}/*.parquet')")
+        want = duckdb.connect().execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+        assert (got.where("NOT base_failed AND NOT kept").count() > 0) == decides
+
+
 def test_quality_clashing_columns_and_empty(spark):
     docs = documents(spark, [prose(1, 80, 10_000)] * 2).withColumnsRenamed({"lang": "host", "n_chars": "host_docs"})
-    assert op10_quality.filter_documents(docs).count() == 2
+    names = ["__t", "__words", "__host", "__name", "__q", "__row", "__hashes", "__lines", "failed", "c0", "c1", "a.b"]
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    kept = op10_quality.filter_documents(docs)
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
     assert op10_quality.judge(docs.limit(0)).count() == 0
 
 

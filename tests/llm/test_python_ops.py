@@ -7,6 +7,7 @@ import re
 import numpy as np
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from rangeweave.llm import op2_licenses, op4_sentencepiece, op7_simhash, op9_secrets
 from tests.llm.helpers import AWKWARD, by_id, documents, prose
@@ -157,6 +158,7 @@ def test_components(spark):
     want = closure(fps, 2)
     got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in op7_simhash.components(docs).collect()}
     assert got == {i: (f, want[i]) for i, f in enumerate(fps)}
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("row", "none", "id", "h", "n", "__h", "__id", "a.b"))])
     kept = op7_simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
