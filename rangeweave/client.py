@@ -8,13 +8,15 @@ writer at a time: a position is the log's length when it is written.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeweave.functions import keys
 from rangeweave.functions.ranges import KeyRange
 from rangeweave.operators import log as L
+from rangeweave.operators.cells import MAX_VALUE
 from rangeweave.operators.scan import Scan
 
 LOG = "pos long, key binary, op string, value binary, expected binary"
@@ -22,6 +24,12 @@ CELLS = "key binary, value binary"
 SCHEMAS = "version long, name string, schema_id binary, meta map<string,string>, dropped boolean"
 
 
+def _small(ops: DataFrame) -> DataFrame:
+    """``ops``; the job fails on a value that is too large to be stored."""
+    ok = F.coalesce(F.octet_length("value"), F.lit(0)) <= MAX_VALUE
+    return ops.withColumn("key", F.when(ok, F.col("key")).otherwise(F.raise_error(F.lit(f"value over {MAX_VALUE} bytes")).cast("binary")))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -68,7 +76,7 @@ class Store:
 
     def _do(self, key: bytes, op: str, value: bytes | None = None, expected: bytes | None = None) -> None:
         row = (bytearray(key), op, None if value is None else bytearray(value), None if expected is None else bytearray(expected), 0)
-        self.append_log(self.spark.createDataFrame([row], "key binary, op string, value binary, expected binary, n long"))
+        self.append_log(_small(self.spark.createDataFrame([row], "key binary, op string, value binary, expected binary, n long")))
 
     def compact(self) -> int:
         """Writes the state as of now as sorted cells and gives its position; earlier snapshots stay readable."""
@@ -81,8 +89,6 @@ class Store:
 
     def schemas(self) -> DataFrame:
         """(name, schema_id, meta) of the namespaces that exist."""
-        from pyspark.sql import Window
-
         last = Window.partitionBy("name").orderBy(F.col("version").desc())
         return self._read("schemas", SCHEMAS).withColumn("__n", F.row_number().over(last)).where("__n = 1 AND NOT dropped").select("name", "schema_id", "meta")
 
@@ -159,7 +165,35 @@ class Store:
         self._do(self._key(schema, key), "cas", new, old)
 
     def load(self, schema: str, rows: DataFrame) -> None:
-        """Puts all rows (key, value) of a DataFrame, deletes where the value is null."""
+        """Puts all rows (key, value) of a DataFrame in their order, deletes where the value is null.
+
+        Rows are written with the partition they came in and their place in it; positions follow from the partitions'
+        sizes, so each row has its own and none is left out.
+        """
         prefix = keys.literal(self._key(schema, b""))
         op = F.when(F.col("value").isNull(), "delete").otherwise("put")
-        self.append_log(rows.select(F.concat(prefix, "key").alias("key"), op.alias("op"), "value", F.lit(None).cast("binary").alias("expected"), F.lit(0).alias("n")))
+        at = F.monotonically_increasing_id()
+        staged = rows.select(F.concat(prefix, "key").alias("key"), op.alias("op"), "value", F.lit(None).cast("binary").alias("expected"), F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+        path = f"{self.path}/staged-{uuid.uuid4().hex}"
+        _small(staged).write.parquet(path)
+        staged = self.spark.read.schema(staged.schema).parquet(path)
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        sizes = staged.groupBy("part").agg(F.count(F.lit(1)).alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+        self.append_log(staged.join(F.broadcast(sizes), "part").withColumn("n", F.col("before") + F.col("place")).drop("part", "place", "before"))
+        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def multi(self, schema: str, conditions: dict[bytes, bytes | None], success: dict[bytes, bytes | None], failure: dict[bytes, bytes | None] | None = None) -> bool:
+        """Whether all conditions (key: its value, None for absent) hold; then ``success`` is written, else ``failure``, as
+        one append to the log. A value of None deletes."""
+        prefix = self._key(schema, b"")
+        wanted = {prefix + k: v for k, v in conditions.items()}
+        found = {}
+        if wanted:
+            rows = self.cells().where(F.col("key").isin(*[keys.literal(k) for k in wanted])).collect()  # at most a row a condition
+            found = {bytes(r["key"]): bytes(r["value"]) for r in rows}
+        passed = all(found.get(k) == v for k, v in wanted.items())
+        writes = success if passed else failure or {}
+        if writes:
+            out = [(bytearray(prefix + k), "delete" if v is None else "put", None if v is None else bytearray(v), None, n) for n, (k, v) in enumerate(writes.items())]
+            self.append_log(_small(self.spark.createDataFrame(out, "key binary, op string, value binary, expected binary, n long")))
+        return passed

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ids of namespaces may not begin with this.
@@ -121,3 +121,28 @@ def floor_div(a: Column, b: Column) -> Column:
 def interval_gap(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Column:
     """Distance of two uncertainty intervals: negative if a lies before b, positive if after, 0 if they overlap."""
     return F.when(a_high < b_low, a_high - b_low).when(a_low > b_high, a_low - b_high).otherwise(F.lit(0).cast("bigint"))
+
+
+#: Keys that are sampled for bounds, and bounds that are taken from them: what a comparison tree holds.
+SAMPLED_KEYS, MOST_BOUNDS = 4096, 256
+
+
+def bounds(rows: DataFrame, key: str = "key", most: int = MOST_BOUNDS) -> list[bytes]:
+    """Up to ``most`` keys of ``rows`` that split them evenly, in order: of ``SAMPLED_KEYS`` keys by hash, or of all if
+    there are no more. The least key is always among them."""
+    known = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    least = known.agg(F.min("k").alias("k")).where("k IS NOT NULL")
+    sample = known.orderBy(F.xxhash64("k"), "k").limit(SAMPLED_KEYS).union(least).collect()  # so many keys
+    found = sorted({bytes(r["k"]) for r in sample})
+    step = -(-len(found) // most) or 1
+    return found[::step]
+
+
+def bucket(key: Column, edges: list[bytes]) -> Column:
+    """The place (from 0) of the last bound up to the key, -1 below all: a balanced tree of comparisons."""
+    if not edges:
+        return F.lit(-1)
+    mid = len(edges) // 2
+    if len(edges) == 1:
+        return F.when(key < literal(edges[0]), -1).otherwise(0)
+    return F.when(key < literal(edges[mid]), bucket(key, edges[:mid])).otherwise(bucket(key, edges[mid:]) + mid)

@@ -5,17 +5,13 @@ vnodes: (schema_id BINARY, start BINARY, rep_set INT); rep_sets: (rep_set INT, m
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeweave.functions import keys, ranges
 
-#: Up to so many vnodes are sent along as a literal array; beyond, they are joined by key prefix.
-LITERAL_VNODES = 2048
-#: Bytes of the key prefix that routing joins on.
-BUCKET_BYTES = 2
+#: Up to so many vnodes (two keys and two numbers each) are broadcast.
+BROADCAST_VNODES = 50_000
 MAX_SUFFIX = 0xFFFFFFFF
 
 
@@ -25,28 +21,33 @@ def responsibilities(vnodes: DataFrame) -> DataFrame:
     return vnodes.withColumn("end", F.coalesce(F.lead("start").over(following), keys.inc(F.col("schema_id"))))
 
 
-def route(rows: DataFrame, vnodes: DataFrame, key: str = "key", literal: int = LITERAL_VNODES) -> DataFrame:
+def route(rows: DataFrame, vnodes: DataFrame, key: str = "key", most: int = BROADCAST_VNODES) -> DataFrame:
     """``rows`` with (schema_id, start, end, rep_set) of the vnode that is responsible for their key; others are dropped.
 
-    The responsible vnode has the greatest start up to the key, in the key's own namespace. For few vnodes that is an
-    expression over a literal array, without a shuffle of rows; for many, both sides meet in key prefixes.
+    The responsible vnode has the greatest start up to the key, in the key's own namespace. Starts are cut into even
+    buckets, each of which begins with a start, so that a key's vnode is in its own bucket: a tree of comparisons gives
+    the bucket, a binary search in the bucket's starts the vnode. Up to ``most`` vnodes are broadcast, so no row is
+    shuffled; beyond, rows meet their bucket by a join whose hot buckets adaptive execution splits.
     """
+    edges = keys.bounds(vnodes, "start")
     owners = responsibilities(vnodes)
-    starts = [bytes(r["start"]) for r in vnodes.select("start").distinct().orderBy("start").limit(literal + 1).collect()]
-    if len(starts) <= literal:
-        below = F.array_max(F.filter(F.array(*[keys.literal(s) for s in starts]), lambda s: s <= F.col(key)))
-        floor = rows.withColumn("__start", below)
-        small = F.broadcast(owners.withColumnRenamed("start", "__start"))  # literal rows at most
-        return floor.join(small, "__start").where(F.col("end").isNull() | (F.col(key) < F.col("end"))).withColumnRenamed("__start", "start")
-    wide = 1 << 8 * BUCKET_BYTES
+    names = [c for c in owners.columns if c != key]
+    held = F.array_sort(F.collect_list(F.struct("start", *[c for c in owners.columns if c != "start"])))
+    small = owners.groupBy(keys.bucket(F.col("start"), edges).alias("__bucket")).agg(held.alias("__own"))
+    if vnodes.count() <= most:
+        small = F.broadcast(small)
+    met = rows.withColumn("__bucket", keys.bucket(F.col(key), edges)).join(small, "__bucket")
+    # the last place whose start is up to the key; the first place always is
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("__own"))).cast("int") + 1)
 
-    def bucket(k):
-        return F.conv(F.rpad(F.hex(F.substring(k, 1, BUCKET_BYTES)), 2 * BUCKET_BYTES, "0"), 16, 10).cast("long")
+    def halve(state, _):
+        mid = F.floor((state["low"] + state["high"] + 1) / 2).cast("int")
+        up = F.get("__own", mid)["start"] <= F.col(key)
+        return F.struct(F.when(up, mid).otherwise(state["low"]).alias("low"), F.when(up, state["high"]).otherwise(mid - 1).alias("high"))
 
-    high = F.when(F.col("end").isNull(), F.lit(wide - 1).cast("long")).otherwise(bucket("end"))
-    spread = owners.withColumn("__bucket", F.explode(F.sequence(bucket("start"), high)))
-    met = rows.withColumn("__bucket", bucket(key)).join(spread, "__bucket")
-    return met.where((F.col(key) >= F.col("start")) & (F.col("end").isNull() | (F.col(key) < F.col("end")))).drop("__bucket")
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), (F.size("__own") - 1).alias("high")), lambda s, x: F.when(s["low"] < s["high"], halve(s, x)).otherwise(s), lambda s: F.get("__own", s["low"]))
+    met = met.withColumn("__vnode", found).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("__vnode")[c].alias(c) for c in names])
+    return met.where(F.col("end").isNull() | (F.col(key) < F.col("end")))
 
 
 def schema_of(rows: DataFrame, schemas: DataFrame, key: str = "key") -> DataFrame:
@@ -61,10 +62,18 @@ def schema_of(rows: DataFrame, schemas: DataFrame, key: str = "key") -> DataFram
 
 
 def split(spans: DataFrame, vnodes: DataFrame) -> DataFrame:
-    """``spans`` (schema_id, span) in parts, one for each vnode they touch: with (start, rep_set, part)."""
+    """``spans`` (schema_id, span) in parts, one for each vnode they touch: with (start, rep_set, part).
+
+    Spans are spread over the even buckets of starts that they touch, and meet only the vnodes of those.
+    """
+    edges = keys.bounds(vnodes, "start")
     owners = responsibilities(vnodes).withColumn("__own", ranges.struct(F.col("start"), F.lit(True), F.col("end"), F.lit(False)))
-    met = spans.join(owners, "schema_id").where(ranges.overlaps(F.col("span"), F.col("__own")))
-    return met.withColumn("part", ranges.intersect(F.col("span"), F.col("__own"))).drop("__own")
+    owners = owners.withColumn("__bucket", keys.bucket(F.col("start"), edges))
+    first = F.greatest(F.lit(0), keys.bucket(F.col("span.begin"), edges))
+    last = F.when(F.col("span.end").isNull(), F.lit(max(len(edges) - 1, 0))).otherwise(keys.bucket(F.col("span.end"), edges))
+    spread = spans.withColumn("__bucket", F.explode(F.when(first <= last, F.sequence(first, last))))
+    met = spread.join(owners, ["schema_id", "__bucket"]).where(ranges.overlaps(F.col("span"), F.col("__own")))
+    return met.withColumn("part", ranges.intersect(F.col("span"), F.col("__own"))).drop("__own", "__bucket")
 
 
 def first_part(spans: DataFrame, vnodes: DataFrame, by: str) -> DataFrame:
@@ -121,22 +130,27 @@ def replication_problem(factor: int, hosts: int) -> str | None:
     return "more replicas than hosts" if factor > hosts else None
 
 
-def copysets(hosts: int, factor: int, scatter: int, seed: int = 0) -> list[list[int]]:
-    """Replication sets, all different: ceil(scatter / (factor - 1)) permutations of the hosts, cut in pieces of ``factor``.
+def _shuffled(seed, *parts) -> Column:
+    """What rows are ordered by for a seeded permutation."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
 
-    A plan over as many hosts as a cluster has, not over data.
-    """
-    if problem := replication_problem(factor, hosts):
+
+def copysets(hosts: DataFrame, factor: int, scatter: int, seed: int = 0) -> DataFrame:
+    """(members): different replication sets of ``factor`` hosts: ceil(scatter / (factor - 1)) permutations of the hosts, by a
+    seeded hash, are cut in pieces of ``factor`` (what is left over goes), and equal pieces count once."""
+    if problem := replication_problem(factor, hosts.count()):
         raise ValueError(problem)
-    r, found = random.Random(seed), []
-    for _ in range(-(-scatter // (factor - 1))):
-        for _ in range(1000):
-            order = r.sample(range(hosts), hosts)
-            sets = [sorted(order[k : k + factor]) for k in range(0, hosts - factor + 1, factor)]
-            if not any(s in found for s in sets):
-                found += sets
-                break
-    return found
+    turns = F.array(*[F.lit(k) for k in range(-(-scatter // (factor - 1)))])
+    dealt = hosts.select("host", F.explode(turns).alias("turn"))
+    order = Window.partitionBy("turn").orderBy(_shuffled(seed, "turn", "host"), "host")
+    pieces = dealt.withColumn("piece", F.floor((F.row_number().over(order) - 1) / factor)).groupBy("turn", "piece").agg(F.sort_array(F.collect_list("host")).alias("members"))
+    return pieces.where(F.size("members") == factor).select("members").distinct()
+
+
+def random_set(sets: DataFrame, seed: int, factor: int | None = None) -> DataFrame:
+    """One row of ``sets`` (rep_set, members), by a seeded hash: of those with ``factor`` members, if that is given."""
+    able = sets if factor is None else sets.where(F.size("members") == factor)
+    return able.orderBy(_shuffled(seed, "rep_set"), "rep_set").limit(1)
 
 
 def current(changes: DataFrame, first: int) -> DataFrame:
@@ -180,4 +194,19 @@ def missing_pieces(pieces: DataFrame, by: str) -> DataFrame:
 
 def sample_hosts(hosts: DataFrame, n: int, seed: int) -> DataFrame:
     """n hosts by a seeded hash of their number, or all if there are no more: the same ones for a seed."""
-    return hosts.orderBy(F.xxhash64(F.lit(seed), "host"), "host").limit(n)
+    return hosts.orderBy(_shuffled(seed, "host"), "host").limit(n)
+
+
+def membership_changes(catalog_ids: DataFrame, alive: DataFrame, on: str = "host") -> DataFrame:
+    """(host, change): ids of the catalog that aren't alive have failed, live ones that it lacks have joined."""
+    both = catalog_ids.select(on, F.lit(1).alias("__known")).distinct().join(alive.select(on, F.lit(1).alias("__alive")).distinct(), on, "full")
+    change = F.when(F.col("__alive").isNull(), "failed").when(F.col("__known").isNull(), "joined")
+    return both.select(on, change.alias("change")).where("change IS NOT NULL")
+
+
+def vnodes_of_set(vnodes: DataFrame, rep_set: int) -> DataFrame:
+    return vnodes.where(F.col("rep_set") == rep_set)
+
+
+def vnodes_of_schema(vnodes: DataFrame, schema_id: Column) -> DataFrame:
+    return vnodes.where(F.col("schema_id") == schema_id)

@@ -58,14 +58,23 @@ def range_mismatch(got: DataFrame, expected: DataFrame) -> DataFrame:
     return extra.withColumn("side", F.lit("extra")).unionByName(lost.withColumn("side", F.lit("lost")))
 
 
-def broadcast_faults(proposed: DataFrame, decided: DataFrame) -> DataFrame:
-    """(fault, epoch, value) against atomic broadcast: decided but never proposed; decided in different orders.
+def broadcast_faults(proposed: DataFrame, decided: DataFrame, failed: DataFrame) -> DataFrame:
+    """(fault, epoch, value) against atomic broadcast: decided but never proposed; decided in different orders; decided by
+    some node, but not by all nodes that haven't failed.
 
-    ``proposed``: (value); ``decided``: (node, epoch, seq, value). A value that a node decides again counts once, at its
-    first place.
+    ``proposed``: (value); ``decided``: (node, epoch, seq, value); ``failed``: (node, epoch) of nodes that failed in an
+    epoch. A value that a node decides again counts once, at its first place. Nodes are those that decide at all.
     """
     first = decided.groupBy("node", "epoch", "value").agg(F.min("seq").alias("seq"))
     slot = first.withColumn("slot", F.row_number().over(Window.partitionBy("node", "epoch").orderBy("seq", "value")))
     stray = decided.select("epoch", "value").distinct().join(proposed.select("value").distinct(), "value", "left_anti").select(F.lit("not proposed").alias("fault"), "epoch", "value")
     split = slot.groupBy("epoch", "slot").agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")).where("n > 1")
-    return stray.unionByName(split.select(F.lit("order").alias("fault"), "epoch", "value"))
+    live = first.select("node", "epoch", "value", F.lit(1).alias("here")).join(failed.select("node", "epoch", F.lit(1).alias("gone")).distinct(), ["node", "epoch"], "left")
+    by = live.groupBy("epoch", "value").agg(F.count(F.when(F.col("gone").isNull(), 1)).alias("n"))
+    nodes = decided.agg(F.count_distinct("node").alias("nodes"))  # one row
+    wanted = failed.select("node", "epoch").distinct().groupBy("epoch").agg(F.count(F.lit(1)).alias("lost"))
+    lost = by.join(wanted, "epoch", "left").crossJoin(F.broadcast(nodes)).where(F.col("n") < F.col("nodes") - F.coalesce("lost", F.lit(0)))
+    return (
+        stray.unionByName(split.select(F.lit("order").alias("fault"), "epoch", "value"))
+        .unionByName(lost.select(F.lit("not decided").alias("fault"), "epoch", "value"))
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNCONDITIONAL = ("put", "delete")
+GAP_BLOCK = 1 << 16
 
 
 def deduplicated(log: DataFrame, op_id: str) -> DataFrame:
@@ -125,14 +126,19 @@ def contiguous(log: DataFrame, first: int) -> DataFrame:
 
 
 def gaps(log: DataFrame, first: int) -> DataFrame:
-    """(low, high) of every run of missing positions between ``first`` and the log's end."""
-    present = log.where(F.col("pos") >= first).select("pos").distinct()
-    seed = log.sparkSession.createDataFrame([(first,)], "pos long")
-    lows = present.select((F.col("pos") + 1).alias("pos")).union(seed).join(present, "pos", "left_anti")
-    highs = present.select((F.col("pos") - 1).alias("pos")).where(F.col("pos") >= first).join(present, "pos", "left_anti")
-    rank = Window.orderBy("pos")  # of gaps, not of the log
-    pairs = lows.withColumn("n", F.row_number().over(rank)).join(highs.withColumn("n", F.row_number().over(rank)).withColumnRenamed("pos", "high"), "n")
-    return pairs.select(F.col("pos").alias("low"), "high")
+    """(low, high) of every run of missing positions between ``first`` and the log's end.
+
+    Positions look at the one before them in their block of ``GAP_BLOCK``; only the blocks' ends are ordered as a whole.
+    """
+    block = F.floor(F.col("pos") / GAP_BLOCK).alias("block")
+    present = log.where(F.col("pos") >= first).select("pos", block)
+    inside = Window.partitionBy("block").orderBy("pos")
+    within = present.withColumn("before", F.lag("pos").over(inside))
+    seams = Window.orderBy("block")  # a row for each block that has positions
+    ends = present.groupBy("block").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    across = ends.select("pos", F.coalesce(F.lag("last").over(seams), F.lit(first - 1).cast("long")).alias("before"))
+    pairs = within.where("before IS NOT NULL").select("pos", "before").unionByName(across)
+    return pairs.where(F.col("pos") > F.col("before") + 1).select((F.col("before") + 1).alias("low"), (F.col("pos") - 1).alias("high"))
 
 
 def fill_gaps(log: DataFrame, first: int) -> DataFrame:

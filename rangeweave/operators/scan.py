@@ -8,25 +8,35 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeweave.functions import keys
 from rangeweave.functions.ranges import KeyRange
 from rangeweave.operators.cells import newest
 
 KILO, MEGA = 1000, 1_000_000
 
 
-def byte_prefix(rows: DataFrame, limit: int, width: int = 3) -> DataFrame:
-    """The first rows by key whose values add up to ``limit`` bytes at most; the scan stops at the first that doesn't fit.
+def _running(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` with (__bucket, __size, __before), and the bytes of all values up to and with a row's in order of key.
 
-    Totals of key buckets (first ``width`` bytes) are ordered; only buckets that begin below the limit are then summed
-    row by row, each by itself. So no task orders all rows.
+    Keys are cut into even buckets, by a sample; only the buckets' totals are ordered across buckets, rows within theirs.
     """
+    edges = keys.bounds(rows)
     size = F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint")
-    rows = rows.withColumns({"__bucket": F.substring("key", 1, width), "__size": size})
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy("__bucket").agg(F.sum("__size").alias("__total")).select("__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    rows = rows.withColumns({"__bucket": keys.bucket(F.col("key"), edges), "__size": size})
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are buckets
+    totals = rows.groupBy("__bucket").agg(F.sum("__size").alias("__total")).select("__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    able = rows.join(buckets.where(F.col("__before") <= limit), "__bucket")
-    return able.withColumn("__used", F.col("__before") + F.sum("__size").over(within)).where(F.col("__used") <= limit).drop("__bucket", "__size", "__before", "__used")
+    placed = rows.join(F.broadcast(totals), "__bucket")  # MOST_BOUNDS rows at most
+    return placed, F.col("__before") + F.sum("__size").over(within)
+
+
+def byte_prefix(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows by key whose values add up to ``limit`` bytes at most; the scan stops at the first that doesn't fit.
+
+    Only buckets that begin below the limit are summed row by row.
+    """
+    placed, used = _running(rows)
+    return placed.where(F.col("__before") <= limit).withColumn("__used", used).where(F.col("__used") <= limit).drop("__bucket", "__size", "__before", "__used")
 
 
 @dataclass(frozen=True)
@@ -95,13 +105,8 @@ class Scan:
         )
 
 
-def pages(rows: DataFrame, limit: int, width: int = 3) -> DataFrame:
+def pages(rows: DataFrame, limit: int) -> DataFrame:
     """``rows`` (key, value) with the page that a transfer bounded by ``limit`` bytes a page sends them in: pages are cut
     where the running sum of value bytes passes a multiple of the limit."""
-    size = F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint")
-    rows = rows.withColumns({"__bucket": F.substring("key", 1, width), "__size": size})
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy("__bucket").agg(F.sum("__size").alias("__total")).select("__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.col("__before") + F.sum("__size").over(within) - F.col("__size")
-    return rows.join(buckets, "__bucket").withColumn("page", F.floor(used / limit).cast("bigint")).drop("__bucket", "__size", "__before")
+    placed, used = _running(rows)
+    return placed.withColumn("page", F.floor((used - F.col("__size")) / limit).cast("bigint")).drop("__bucket", "__size", "__before")

@@ -130,10 +130,10 @@ def _hosts(spark, d):
     return table(spark, d, "region").select(F.col("r_regionkey").alias("host"), F.concat(F.lower("r_name"), F.lit(":5555")).alias("address"))
 
 
-def _routed(spark, d, literal=K.LITERAL_VNODES):
+def _routed(spark, d, most=K.BROADCAST_VNODES):
     rows = order_cells(spark, d).select(F.concat(keys.literal(_ID), F.col("key")).alias("key"))
     other = spark.createDataFrame([(bytearray(b"\x43\0"),), (bytearray(b"\x41"),)], "key binary")
-    return K.route(rows.union(other), _vnodes(spark, d), literal=literal)
+    return K.route(rows.union(other), _vnodes(spark, d), most=most)
 
 
 _ROUTED = f"(SELECT k AS key, start, rep_set FROM (SELECT '42' || printf('%08X', o_orderkey) AS k, least(o_orderkey // 600, 24) AS v FROM orders) JOIN {_VNODES} ON v = n_nationkey)"
@@ -146,8 +146,23 @@ def route_keys(spark, d):
 
 @query("route_keys_joined", f"SELECT * FROM {_ROUTED}")
 def route_keys_joined(spark, d):
-    """The plan for many vnodes."""
-    return _routed(spark, d, literal=0).select(F.hex("key").alias("key"), F.hex("start").alias("start"), "rep_set")
+    """The plan for more vnodes than are broadcast."""
+    return _routed(spark, d, most=0).select(F.hex("key").alias("key"), F.hex("start").alias("start"), "rep_set")
+
+
+_TEST = "098F6BCD4621D373CADE4E832627B4F6"
+_SCATTERED = "(SELECT event_id, event_id * 2654435761 % 4294967296 AS x FROM events)"
+
+
+@query("route_keys_many", f"SELECT event_id, '{_TEST}' || CASE WHEN least(x // 858993, 4999) = 0 THEN '' ELSE printf('%08X', least(x // 858993, 4999) * 858993) END AS start, least(x // 858993, 4999) % 5 AS rep_set FROM {_SCATTERED}")
+def route_keys_many(spark, d):
+    """Five thousand vnodes of one namespace."""
+    own, k = keys.literal(bytes.fromhex(_TEST)), F.col("id")
+    start = F.when(k == 0, own).otherwise(F.concat(own, keys.int_key(k * 858993)))
+    vnodes = spark.range(5000).select(own.alias("schema_id"), start.alias("start"), (k % 5).alias("rep_set"))
+    x = F.col("event_id") * 2654435761 % 4294967296
+    rows = table(spark, d, "events").select("event_id", F.concat(own, keys.int_key(x)).alias("key"))
+    return K.route(rows, vnodes).select("event_id", F.hex("start").alias("start"), "rep_set")
 
 
 @query("responsibility", f"SELECT start, coalesce(lead(start) OVER (ORDER BY start), '43') AS stop, rep_set FROM {_VNODES}")
@@ -220,10 +235,10 @@ def schema_of_key(spark, d):
     return K.schema_of(rows, regions.where("r < 4").select(F.col("id").alias("schema_id"))).select(F.hex("key").alias("key"), F.hex("schema_id").alias("schema_id"))
 
 
-@query("collocation_check", "SELECT event_id AS pos, user_id // 600 = (user_id + event_id % 7 * 100) // 600 AS collocated FROM events WHERE event_id < 2000")
+@query("collocation_check", "SELECT event_id AS pos, user_id // 600 = (user_id + event_id % 7 * 100) // 600 AS collocated FROM events")
 def collocation_check(spark, d):
     """Two keys per operation; vnodes every 600 keys."""
-    e = table(spark, d, "events").where("event_id < 2000")
+    e = table(spark, d, "events")
     both = F.explode(F.array(F.col("user_id"), F.col("user_id") + F.col("event_id") % 7 * 100))
     ops = e.select(F.col("event_id").alias("pos"), both.alias("x")).select("pos", F.concat(keys.literal(_ID), keys.int_key(F.col("x"))).alias("key"))
     routed = K.route(ops.select("key").distinct(), _vnodes(spark, d)).select("key", F.col("start").alias("vnode"))
@@ -293,12 +308,41 @@ def missing_pieces(spark, d):
     return K.missing_pieces(_pieces(spark, d), "doc_id")
 
 
-@query("sample_hosts")
+@query("sample_hosts", "SELECT r_regionkey AS host, lower(r_name) || ':5555' AS address FROM region ORDER BY md5('1:' || r_regionkey) LIMIT 3")
 def sample_hosts(spark, d):
     return K.sample_hosts(_hosts(spark, d), 3, seed=1)
 
 
-@query("copysets")
+@query(
+    "copysets",
+    """WITH p AS (SELECT n_nationkey AS host, turn, (row_number() OVER (PARTITION BY turn ORDER BY md5('0:' || turn || ':' || n_nationkey)) - 1) // 3 AS piece FROM nation, (SELECT unnest(range(3)) AS turn))
+SELECT DISTINCT members FROM (SELECT string_agg(host, ',' ORDER BY host) AS members, count(*) AS n FROM p GROUP BY turn, piece) WHERE n = 3""",
+)
 def copysets(spark, d):
-    """Invariants are tested: sets differ, members differ, every host has enough partners."""
-    return spark.createDataFrame(list(enumerate(K.copysets(30, 3, 6))), "rep_set int, members array<int>")
+    hosts = table(spark, d, "nation").select(F.col("n_nationkey").alias("host"))
+    return K.copysets(hosts, 3, 6).select(F.array_join("members", ",").alias("members"))
+
+
+@query("random_replication_set", "SELECT r_regionkey AS rep_set FROM region ORDER BY md5('7:' || r_regionkey) LIMIT 1")
+def random_replication_set(spark, d):
+    return K.random_set(_rep_sets(spark, d), 7, 3).select("rep_set")
+
+
+@query("membership_changes", "SELECT user_id AS host, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'joined' END AS change FROM (SELECT DISTINCT user_id FROM events) WHERE (user_id % 7 = 0) <> (user_id % 5 = 0)")
+def membership_changes(spark, d):
+    """Of all users, the catalog knows those but multiples of 5, and all but multiples of 7 are alive."""
+    hosts = table(spark, d, "events").select(F.col("user_id").alias("host")).distinct()
+    return K.membership_changes(hosts.where("host % 5 <> 0"), hosts.where("host % 7 <> 0"))
+
+
+@query("vnodes_of_set", f"SELECT start FROM {_VNODES} WHERE rep_set = 3")
+def vnodes_of_set(spark, d):
+    return K.vnodes_of_set(_vnodes(spark, d), 3).select(F.hex("start").alias("start"))
+
+
+@query("vnodes_of_schema", "SELECT upper(md5(n_name)) AS schema_id, count(*) AS n FROM nation WHERE n_name = (SELECT min(n_name) FROM nation) GROUP BY 1")
+def vnodes_of_schema(spark, d):
+    vnodes = table(spark, d, "nation").select(keys.schema_id(F.col("n_name")).alias("schema_id"), "n_name")
+    name = vnodes.agg(F.min("n_name")).first()[0]
+    found = K.vnodes_of_schema(vnodes, keys.schema_id(F.lit(name)))
+    return found.groupBy(F.hex("schema_id").alias("schema_id")).agg(F.count(F.lit(1)).alias("n"))

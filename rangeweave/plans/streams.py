@@ -16,7 +16,10 @@ def _folder(spark: SparkSession) -> str:
     """A folder in the shared one; one is made only where the session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangeweave-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="rangeweave-"))
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
@@ -26,7 +29,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ran(rows: DataFrame, mode: str) -> DataFrame:
-    """What the stream has written when all input is read: files for appends, the last state of a table otherwise."""
+    """What the stream has written when all input is read: all rows of appends and updates, the last state of a table."""
     spark, folder = rows.sparkSession, _folder(rows.sparkSession)
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
@@ -38,7 +41,7 @@ def _ran(rows: DataFrame, mode: str) -> DataFrame:
         found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
         last = max(int(s.getPath().getName()) for s in found)
         del jvm
-        return spark.read.parquet(f"{folder}/out/{last}")
+        return spark.read.parquet(*[f"{folder}/out/{k}" for k in (range(last + 1) if mode == "update" else [last])])
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
@@ -46,8 +49,8 @@ def _ran(rows: DataFrame, mode: str) -> DataFrame:
 def stream_heartbeats(spark, d):
     """Reports a host and ten-minute window."""
     rows = _stream(spark, d).select(F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"))
-    out = _ran(S.latest_reports(rows, "host", "ts", "10 minutes", "1 day"), "complete")
-    return out.select("host", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+    out = _ran(S.latest_reports(rows, "host", "ts", "10 minutes", "1 day"), "update")
+    return out.groupBy("host", F.col("window.start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))  # the last update has the most
 
 
 @query("stream_vnode_counters", "SELECT user_id AS vnode, sum(length(props))::BIGINT AS store_size, count(*) AS store_keys FROM events GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def latest_reports(reports: DataFrame, host: str, at: str, window: str, late: str) -> DataFrame:
-    """(window, host, n, last) of heartbeats: a report counts once a host and window; later than ``late`` it's dropped."""
+    """(window, host, n, last) of heartbeats, as counted so far; later than ``late`` they are dropped. In update mode the
+    state holds only windows that the watermark hasn't passed."""
     return reports.withWatermark(at, late).groupBy(F.window(at, window).alias("window"), host).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last"))
 
 
@@ -23,20 +25,26 @@ def vnode_counters(diffs: DataFrame, by: str) -> DataFrame:
 def contiguous(log: DataFrame, by: str, first: int) -> DataFrame:
     """(by, pos) of a stream's log entries in order, each once all before it have come; the rest wait in the state.
 
-    ``by`` splits the log (one log a vnode); the state holds what waits beyond the first gap.
+    ``by`` splits the log (one log a vnode); the state holds what waits beyond the first gap, as runs (first, last, ...).
     """
 
     def drain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         due, waiting = state.get if state.exists else (first, [])
-        waiting = set(waiting)
-        for rows in batches:
-            waiting |= {int(p) for p in rows["pos"] if p >= due}
-        out = []
-        while due in waiting:
-            waiting.discard(due)
-            out.append(due)
-            due += 1
-        state.update((due, sorted(waiting)))
+        new = np.unique(np.concatenate([rows["pos"].to_numpy(np.int64) for rows in batches]))
+        new = new[new >= due]
+        cuts = np.flatnonzero(np.diff(new, prepend=new[:1] - 2) != 1)
+        runs = sorted([*zip(waiting[::2], waiting[1::2], strict=True), *zip(new[cuts].tolist(), new[np.append(cuts[1:], len(new)) - 1].tolist() if len(new) else [], strict=True)])
+        merged: list[list[int]] = []
+        for low, high in runs:
+            if merged and low <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        out = np.zeros(0, np.int64)
+        if merged and merged[0][0] <= due:
+            out = np.arange(due, merged.pop(0)[1] + 1)
+            due += len(out)
+        state.update((due, [x for run in merged for x in run]))
         yield pd.DataFrame({by: [key[0]] * len(out), "pos": out})
 
     kind = log.schema[by].dataType.simpleString()

@@ -12,7 +12,7 @@ from rangeweave.functions import ranges as R
 from rangeweave.functions.ranges import KeyRange
 from rangeweave.operators import catalog, log
 from rangeweave.operators import cells as C
-from rangeweave.operators.scan import Scan
+from rangeweave.operators.scan import Scan, byte_prefix
 from rangeweave.sources import cells as store
 from rangeweave.streaming import streams
 
@@ -201,14 +201,47 @@ def test_gaps(spark):
 # planning
 
 
-def test_copysets():
-    for hosts in (6, 30, 500):
-        sets = catalog.copysets(hosts, 3, 6)
-        assert len({tuple(s) for s in sets}) == len(sets) and all(len(set(s)) == 3 for s in sets)
+def test_copysets(spark):
+    def hosts(n):
+        return spark.range(n).withColumnRenamed("id", "host")
+
+    for n in (6, 30, 500):
+        sets = [tuple(r["members"]) for r in catalog.copysets(hosts(n), 3, 6).collect()]
+        assert len(set(sets)) == len(sets) and all(len(set(s)) == 3 for s in sets)
+        assert n == 500 or {h for s in sets for h in s} == set(range(n))
     with pytest.raises(ValueError):
-        catalog.copysets(5, 2, 4)
+        catalog.copysets(hosts(5), 2, 4)
     with pytest.raises(ValueError):
-        catalog.copysets(2, 3, 4)
+        catalog.copysets(hosts(2), 3, 4)
+
+
+def test_even_buckets_and_route(spark):
+    """Five thousand vnodes and many keys of one namespace: no bucket holds over twice the mean."""
+    own = keys.literal(bytes.fromhex("098F6BCD4621D373CADE4E832627B4F6"))
+    vnodes = spark.range(5000).select(own.alias("schema_id"), F.concat(own, keys.int_key(F.col("id") * 858_993)).alias("start"), F.col("id").alias("rep_set"))
+    rows = spark.range(20_000).select(F.concat(own, keys.int_key(F.col("id") * 2_654_435_761 % (1 << 32))).alias("key"), (F.col("id") * 2_654_435_761 % (1 << 32)).alias("x"))
+    for frame, key in ((vnodes, "start"), (rows, "key")):
+        edges = keys.bounds(frame, key)
+        sizes = [r["count"] for r in frame.groupBy(keys.bucket(F.col(key), edges)).count().collect()]
+        assert len(sizes) > 100 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    for most in (0, 100_000):
+        routed = catalog.route(rows, vnodes, most=most).select("x", "rep_set").collect()
+        assert len(routed) == 20_000 and all(r["rep_set"] == min(r["x"] // 858_993, 4999) for r in routed)
+    assert catalog.route(rows, vnodes.limit(0)).count() == 0 == catalog.route(rows.limit(0), vnodes).count()
+
+
+def test_byte_prefix_in_one_namespace(spark):
+    r = random.Random(2)
+    cells = sorted((b"namespace-of-all" + r.randbytes(4), r.randbytes(r.randrange(40))) for _ in range(3000))
+    frame = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in cells], "key binary, value binary").repartition(7)
+    want, used = [], 0
+    for k, v in cells:
+        used += len(v)
+        if used > 20_000:
+            break
+        want.append(k)
+    assert sorted(bytes(x["key"]) for x in byte_prefix(frame, 20_000).collect()) == want
+    assert byte_prefix(frame.limit(0), 5).count() == 0
 
 
 # the store
@@ -232,6 +265,15 @@ def test_store(spark, tmp_path):
     assert s.scan("a", KeyRange(b"k3", None), items=2).count() == 2 and s.prefix_scan("a", b"k4").count() == 1
     s.compact()
     assert s.all("a").count() == 5 and s.get("b", b"k1") == b"other"
+    twice = [(bytearray(b"k2"), bytearray(b"old")), (bytearray(b"k2"), None), (bytearray(b"k3"), bytearray(b"3")), (bytearray(b"k3"), bytearray(b"new"))]
+    s.load("a", spark.createDataFrame(twice, "key binary, value binary").coalesce(1))
+    assert s.get("a", b"k2") is None and s.get("a", b"k3") == b"new"
+    s.load("a", spark.range(500).select(keys.int_key(F.col("id")).alias("key"), F.lit(bytearray(b"x")).alias("value")).repartition(5))
+    assert s.log().groupBy("pos").count().where("count > 1").count() == 0 == log.gaps(s.log(), 0).count()
+    assert s.multi("a", {b"k3": b"new", b"k2": None}, {b"k2": b"yes", b"k3": None}, {b"k2": b"no"}) and s.get("a", b"k2") == b"yes" and s.get("a", b"k3") is None
+    assert not s.multi("a", {b"k3": b"new"}, {b"k2": b"again"}) and s.get("a", b"k2") == b"yes"
+    with pytest.raises(Exception, match="65534"):
+        s.put("a", b"k2", b"x" * 70_000)
     assert s.drop_schema("b") == "SUCCESS" and s.drop_schema("b") == "NO_SUCH_SCHEMA"
     with pytest.raises(KeyError):
         s.get("b", b"k1")
