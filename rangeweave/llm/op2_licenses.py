@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template matches a block that holds at least ``THRESHOLD`` of the template's distinct words. The
-join finds all such blocks: template words are ordered by how many documents hold them, rarest first, over the whole
+Blocks are lines, and stretches of ``BLOCK`` words that start every half of it, so that a notice wrapped over lines lies
+in one wherever it stands (a stretch holds any template of up to half its words whole). A template matches a block that
+holds at least ``THRESHOLD`` of the template's distinct words. The join finds all such blocks: template words are ordered by how many documents hold them, rarest first, over the whole
 table; a block that reaches the threshold must hold one of a template's first n - ceil(tn) + 1 words (prefix filter),
 at least ceil(tn) template words (length filter), and enough words after the shared one on both sides (positional
 filter). Candidates are then verified. Only the words that occur in templates are kept of a block, as no other can
@@ -34,11 +35,23 @@ TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice appear in all copies"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 )
 
 
+#: Words of a stretch; a new one starts every half of it, which holds any template whole.
+BLOCK = 2 * max(len(text.split()) for _, text in TEMPLATES)
+
+
 def _sets() -> list[tuple[int, str, list[str]]]:
     return [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(TEMPLATES)]
 
@@ -69,14 +82,22 @@ def _read(docs: DataFrame, text: str, threshold: float) -> DataFrame:
     at = at.withColumn("__kept", F.transform("__lines", lambda x: F.array_intersect(F.lit(vocabulary), x)))
     at = at.withColumn("__words", F.when(F.contains("__t", F.lit("license")), F.flatten("__lines")).otherwise(F.array().cast("array<string>")))
     at = at.withColumn("places", F.array(*[F.struct(F.lit(label).alias("label"), _places(words, phrase.split()).alias("at")) for phrase, label in PHRASES.items()]))
+    at = at.withColumn("seen", F.array_distinct(F.flatten("__kept")))
+    may = F.lit(False)  # the whole text holds enough of some template
+    for _, _, template in _sets():
+        may = may | (F.size(F.array_intersect("seen", F.lit(template))) >= _least(len(template), threshold))
+    half, flat = BLOCK // 2, F.col("__flat")
+    at = at.withColumn("__flat", F.when(may, F.flatten("__lines")).otherwise(F.array().cast("array<string>")))
+    stretch = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(flat) - BLOCK) / half).cast("int"))), lambda i: F.array_intersect(F.lit(vocabulary), F.slice(flat, i * half + 1, BLOCK)))
+    at = at.withColumn("__wide", F.when(may, stretch).otherwise(F.array().cast("array<array<string>>")))
     starts = F.flatten(F.transform("places", lambda p: p["at"]))
     return at.select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
         F.aggregate("__lines", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)).alias("n_words"),
         F.size(starts).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.transform(F.filter("places", lambda p: F.size(p["at"]) > 0), lambda p: p["label"]).alias("base"),
-        F.array_distinct(F.flatten("__kept")).alias("seen"),
-        F.filter("__kept", lambda x: F.size(x) >= smallest).alias("blocks"),
+        "seen",
+        F.filter(F.concat(F.when(may, F.col("__kept")).otherwise(F.array().cast("array<array<string>>")), "__wide"), lambda x: F.size(x) >= smallest).alias("blocks"),
     )
 
 
@@ -105,7 +126,8 @@ def matches(read: DataFrame, threshold: float) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: base results, labels of phrases and templates, and the best containment.
 
-    ``score`` is 1 where a base phrase stands, else the best containment of a matching template, else 0.
+    ``score`` is 1 where a base phrase stands, else the best containment of a matching template, else 0. ``n_blocks``
+    counts the lines and stretches that match a template.
     """
     read = written(_read(docs, text, threshold))
     best = matches(read, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count_distinct("block").alias("blocks"))
@@ -131,7 +153,8 @@ p(label, words) AS (VALUES {_PHRASE_ROWS}),
 i AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS k FROM w WHERE contains(t, 'license')),
 b AS (SELECT rid, label, k - 1 AS pos FROM i, p WHERE ws[k : k + len(words) - 1] = words),
 bb AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY rid),
-l AS (SELECT rid, unnest(list_transform(string_split(t, chr(10)), lambda x: {{'ws': regexp_extract_all(x, '{WORD}')}})) AS x FROM d),
+l AS (SELECT rid, unnest(list_transform(string_split(t, chr(10)), lambda x: {{'ws': regexp_extract_all(x, '{WORD}')}})) AS x FROM d
+  UNION ALL SELECT rid, {{'ws': ws[k * {BLOCK // 2} + 1 : k * {BLOCK // 2} + {BLOCK}]}} FROM (SELECT rid, ws, unnest(range(0, greatest(0, ceil((len(ws) - {BLOCK}) / {BLOCK / 2})::BIGINT) + 1)) AS k FROM w)),
 ln AS (SELECT rid, row_number() OVER () AS line, x.ws AS ws FROM l),
 tp(template, label, words, least) AS (VALUES {_TEMPLATE_ROWS}),
 m AS (SELECT rid, line, label, len(list_intersect(words, ws))::DOUBLE / len(words) AS c FROM ln, tp WHERE len(list_intersect(words, ws)) >= least),

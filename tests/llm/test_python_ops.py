@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import sentencepiece
@@ -26,8 +27,9 @@ def license_row(text):
     words = WORD.findall(text)
     at = [(i, label) for phrase, label in op2_licenses.PHRASES.items() for p in [phrase.split()] for i in range(len(words)) if words[i : i + len(p)] == p]
     labels, best = {x for _, x in at}, 0.0
-    for line in text.split("\n"):
-        have = set(WORD.findall(line))
+    half = op2_licenses.BLOCK // 2
+    stretches = [words[k : k + 2 * half] for k in range(0, max(1, len(words) - half), half)]
+    for have in [set(x) for x in (*map(WORD.findall, text.split("\n")), *stretches)]:
         for label, template in op2_licenses.TEMPLATES:
             t = set(template.split())
             if len(have & t) >= 0.8 * len(t) - 1e-9:
@@ -44,8 +46,15 @@ def test_licenses(spark):
         words = r.choice(op2_licenses.TEMPLATES)[1].split()
         r.shuffle(words)
         texts.append(" ".join(words[: r.randrange(len(words) // 2, len(words) + 1)] + prose(r.random(), 5).split()) + "\n" + prose(r.random(), 9))
+    wrapped = len(texts)
+    for label, template in op2_licenses.TEMPLATES:  # wrapped at 40 columns with marks in front, somewhere in a text
+        noise = prose(f"{label} {template}", 150).split()
+        texts.append(" ".join(noise[:77]) + "\n" + "\n".join("# " + x for x in textwrap.wrap(template, 40)) + "\n" + " ".join(noise[77:]))
+    docs = documents(spark, [*texts, None, texts[-1], texts[-1]], [*range(len(texts)), None, len(texts) - 1, len(texts) - 1])
+    assert docs.count() == op2_licenses.scan(docs).count()
     got = by_id(op2_licenses.scan(documents(spark, texts)), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert got == {i: license_row(t) for i, t in enumerate(texts)}
+    assert all(label in got[wrapped + k][5].split(",") for k, (label, _) in enumerate(op2_licenses.TEMPLATES))
     assert op2_licenses.scan(documents(spark, texts).limit(0)).count() == 0
 
 
