@@ -1,12 +1,15 @@
 """Secret scans by assignment-aware lexing.
 
-Besides the base patterns (assign, access, hex), each text is read as source or configuration: ``name = expression``,
-``name: expression``, ``name := expression`` and ``name => expression`` give name-literal pairs, whatever the language.
-An expression is a chain of quoted literals, bare words and names joined by ``+``. Names assigned earlier in the text
-stand for their literals (constant propagation), so the literal behind ``KEY = "..."; password = KEY`` is scored by
-``password``. Chains have any number of terms, and scores go back from name to name once, at the end of the text.
-A literal's score is that of the most sensitive name it reaches, raised by its mix of characters, all of them counted;
-literals that score ``THRESHOLD`` or more become spans of kind ``named`` at the place they are written.
+Besides the base patterns (assign, access, hex), each text is read as source and configuration. A lexer sets comments
+apart (``#`` and ``//`` to the end of the line, ``/* */``, ``<!-- -->``; not inside strings). ``name = expression``, ``name:
+expression``, ``name: type = expression``, ``name := expression`` and ``name => expression`` give name-literal pairs, and so do
+YAML block scalars, XML elements, and XML or JSON entries that say their name in one field and their value in another.
+An expression is a chain of quoted literals (in one, three or backward quotes), bare words and names joined by ``+``. Names
+assigned earlier in the text stand for their literals (constant propagation), so the literal behind ``KEY = "..."; password
+= KEY`` is scored by ``password``; names assigned in a comment stand for nothing outside it. Chains have any number of
+terms, and scores go back from name to name once, at the end of the text. A literal's score is that of the most sensitive
+name it reaches, less ``COMMENTED`` in a comment, raised by its mix of characters, all of them counted; literals that score
+``THRESHOLD`` or more become spans of kind ``named`` at the place they are written.
 
 Edge cases: a null or empty text has no spans, counts of zero and the SHA-256 of the empty string. Repeated rows and
 null ids give a row each; extra columns are not carried. Time is linear in a text's length.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,12 +47,68 @@ _HINTS = (*_BASE_NAMES, "key")
 SENSITIVE = {"password": 70, "passwd": 70, "pwd": 60, "passphrase": 70, "secret": 70, "token": 60, "apikey": 70, "accesskey": 60, "privatekey": 70, "credential": 60, "auth": 50}
 THRESHOLD = 70
 MIN_LITERAL = 8
+#: What a literal in a comment scores less.
+COMMENTED = 10
 _PLACEHOLDER = re.compile(r"[<\[{$%].*|(.)\1*|(?i:change_?me|example|placeholder|your[-_].*|none|null|true|false|todo)")
 _NAME = re.compile(r"""(?<![A-Za-z0-9_.-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+""")
 _TERM = re.compile(
     r"""(?:"(?P<d>[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+)"|'(?P<s>[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+)'|(?P<n>[A-Za-z_][A-Za-z0-9_]*+)(?![^\s;,)\]}+])|(?P<b>[^\s;,"'(){}\[\]]++))"""
 )
 _PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
+_TYPE = re.compile(r"[A-Za-z_][A-Za-z0-9_.\[\]|]*+[\x20\t]*+=(?![=>])[\x20\t]*+")
+_OPENS = re.compile(r"""\"{3}|'{3}|["'`]|/\*|<!--|(?<!\S)(?:\#|//)""")
+_CLOSES = {'"""': '"""', "'''": "'''", "`": "`", "/*": "*/", "<!--": "-->"}
+_QUOTED = {'"': re.compile(r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'), "'": re.compile(r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")}
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[\x20\t]*+(?:\#[^\n]*+)?\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>\s*+([^<>]*+)</\1\s*+>")
+_ENTRY = re.compile(r"[<{][^<>{}]*+[>}]")
+_FIELD = re.compile(r"""(?<![A-Za-z0-9_.:-])["']?(key|name|id|value)["']?\s*+[=:]\s*+(?:"([^"\n]*+)"|'([^'\n]*+)')""")
+
+
+def comments(text: str) -> list[tuple[int, int]]:
+    """Spans of the text's comments, in order. A quote or comment that isn't closed opens nothing."""
+    found: list[tuple[int, int]] = []
+    open_ended: set[str] = set()  # what isn't closed from some place on isn't looked for again
+    at = 0
+    while m := _OPENS.search(text, at):
+        what, at = m[0], m.end()
+        if what in ("#", "//"):
+            end = text.find("\n", at)
+            at = len(text) if end < 0 else end
+            found.append((m.start(), at))
+        elif what in _QUOTED:
+            quoted = _QUOTED[what].match(text, m.start())
+            at = quoted.end() if quoted else at
+        elif what not in open_ended:
+            end = text.find(_CLOSES[what], at)
+            if end < 0:
+                open_ended.add(what)
+                continue
+            at = end + len(_CLOSES[what])
+            if what in ("/*", "<!--"):
+                found.append((m.start(), at))
+    return found
+
+
+def _block(text: str, start: int, at: int) -> tuple[int, int] | None:
+    """The span of a block scalar's lines, which are indented deeper than the line that ``start`` is in."""
+
+    def indent(begin: int) -> int:
+        k = begin
+        while k < len(text) and text[k] == " ":
+            k += 1
+        return k - begin
+
+    depth, first, last = indent(text.rfind("\n", 0, start) + 1), None, at
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if not text[at:end].isspace() and end > at:
+            if indent(at) <= depth:
+                break
+            first, last = at + indent(at) if first is None else first, end
+        at = end + 1
+    return None if first is None else (first, last)
 
 
 def _base(text: str) -> list[tuple[int, int, int]]:
@@ -75,28 +135,73 @@ def _mix(literal: str) -> int:
     return round(5 * min(6.0, bits))
 
 
+def _fields(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    """(name, span of the literal) of XML elements, and of entries with a name and a value in fields of their own."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m[1], (m.start(2), m.start(2) + len(m[2].rstrip()))
+    if "value" in text:
+        for m in _ENTRY.finditer(text):
+            name = value = None
+            for f in _FIELD.finditer(text, m.start(), m.end()):
+                if f[1] == "value":
+                    value = f.span(2) if f[2] is not None else f.span(3)
+                else:
+                    name = f[2] or f[3] or name
+            if name and value:
+                yield name, value
+
+
 def named_literals(text: str) -> list[tuple[int, int, int]]:
     """(start, end, score) of the literals that reach a sensitive name."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    known: dict[str, int] = {}  # the last assignment of each name
+    apart = comments(text)
+    starts = [a for a, _ in apart]
+
+    def scope(at: int) -> int:
+        """The comment that a place is in, -1 for none."""
+        k = bisect_right(starts, at) - 1
+        return k if k >= 0 and at < apart[k][1] else -1
+
+    known: dict[tuple[int, str], int] = {}  # the last assignment of each name, by scope
     chains: list[tuple[int, list[tuple[int, int]], list[int]]] = []  # sensitivity, own literals, earlier assignments
+    open_ended: set[str] = set()
+    block_end = 0
     for m in _NAME.finditer(text):
-        at, parts, names = m.end(), [], []
-        while term := _TERM.match(text, at):
-            if term["n"] is not None and term["n"] in known:
-                names.append(known[term["n"]])
+        at, parts, names, where = m.end(), [], [], scope(m.start())
+        if text[at - 1 : at] != "=" and (kind := _TYPE.match(text, at)) and ":" in m[0][len(m[1]) :]:
+            at = kind.end()
+        if m.start() >= block_end and _sensitivity(m[1]) and (head := _BLOCK.match(text, at)):
+            span = _block(text, m.start(), head.end())
+            if span:
+                block_end = span[1]
+                chains.append((_sensitivity(m[1]), [span], []))
+                continue
+        while True:
+            quote = next((q for q in ('"""', "'''", "`") if text.startswith(q, at)), None)
+            end = -1 if quote is None or quote in open_ended else text.find(quote, at + len(quote))
+            if quote and end < 0:
+                open_ended.add(quote)
+            if end >= 0:
+                parts.append((at + len(quote), end))
+                at = end + len(quote)
+            elif term := _TERM.match(text, at):
+                if term["n"] is not None and (where, term["n"]) in known:
+                    names.append(known[where, term["n"]])
+                else:
+                    group = next(g for g in "dsnb" if term[g] is not None)
+                    parts.append(term.span(group))
+                at = term.end()
             else:
-                group = next(g for g in "dsnb" if term[g] is not None)
-                parts.append(term.span(group))
-            at = term.end()
+                break
             plus = _PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
         if not parts and not names:
             continue
-        known[m[1]] = len(chains)
+        known[where, m[1]] = len(chains)
         chains.append((_sensitivity(m[1]), parts, names))
     reached = [score for score, _, _ in chains]
     best: dict[tuple[int, int], int] = {}
@@ -107,10 +212,13 @@ def named_literals(text: str) -> list[tuple[int, int, int]]:
         if score:
             for span in chains[k][1]:
                 best[span] = max(best.get(span, 0), score)
+    for name, span in _fields(text):
+        if score := _sensitivity(name):
+            best[span] = max(best.get(span, 0), score)
     for (start, end), score in list(best.items()):
         literal = text[start:end]
         able = end - start >= MIN_LITERAL and score + 30 >= THRESHOLD and not _PLACEHOLDER.fullmatch(literal)
-        best[start, end] = score + _mix(literal) if able else 0
+        best[start, end] = score + _mix(literal) - COMMENTED * (scope(start) >= 0) if able else 0
     return sorted((start, end, min(100, score)) for (start, end), score in best.items() if score >= THRESHOLD)
 
 

@@ -260,3 +260,60 @@ def test_secrets_of_long_chains_and_literals():
 
 def test_secrets_empty(spark):
     assert op9_secrets.scan(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+SYNTAXES = {
+    "python": 'def f():\n    password: str = "{}"\n',
+    "triple": 'db_password = """{}"""\n',
+    "backquote": "const apiToken = `{}`;\n",
+    "java": 'String secretKey = "{}"; // set here\n',
+    "json": '{{"user": "x", "client_secret": "{}", "n": 1}}\n',
+    "entry": '{{"name": "DB_PASSWORD", "value": "{}"}}\n',
+    "yaml": "auth:\n  password: {}\n  user: me\n",
+    "block": "tls:\n  private_key: |\n    {}\n  user: me\n",
+    "ini": "[db]\n; note\npasswd = {}\n",
+    "shell": "export API_KEY={}\n",
+    "xml": "<conf>\n<password type='x'> {} </password></conf>\n",
+    "attribute": '<add key="AccessToken" value="{}"/>\n',
+    "chain": 'base = "{}"\nother = base\nsecret = other\n',
+    "hash comment": '# password = "{}"\n',
+    "block comment": '/* secret: "{}" */\n',
+}
+
+
+def test_named_literals_of_many_syntaxes(spark):
+    """Literals planted in code and configuration between prose are found at their place, and nothing else is."""
+    r, texts, want = random.Random(12), [], []
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    for k in range(90):
+        text, spans = "", set()
+        for name in r.sample(sorted(SYNTAXES), r.randrange(4)):
+            literal = "".join(r.choice(letters) for _ in range(28))
+            text += "\n" + prose(r.random(), 8) + "\n" + SYNTAXES[name].format(literal)
+            spans.add((text.rindex(literal), text.rindex(literal) + 28))
+        texts.append(text + prose(k, 5))
+        want.append(spans)
+    for text, spans in zip(texts, want, strict=True):
+        assert {(a, b) for a, b, _ in op9_secrets.named_literals(text)} == spans, text
+    got = by_id(op9_secrets.scan(documents(spark, texts)), "spans", "n_named")
+    for k, spans in enumerate(want):
+        assert {tuple(map(int, s.split(":")[1:])) for s in got[k][0].split(",") if s.startswith("named")} == spans and got[k][1] == len(spans)
+
+
+def test_comments_and_strings():
+    def spans(text):
+        return [text[a:b] for a, b in op9_secrets.comments(text)]
+
+    assert spans('a = "# no" # yes\nb = 1 // also\nhttp://x.y/z') == ["# yes", "// also"]
+    assert spans("x /* one\ntwo */ <!-- three --> '/* no */' /* open") == ["/* one\ntwo */", "<!-- three -->"]
+    assert spans('s = """a # b\n// c"""\n# d') == ["# d"]
+    named = [s for *_, s in op9_secrets.named_literals('password = "Zx81qW9rT5kk"\n# password = "Yx81qW9rT5kk"')]
+    assert named[0] - named[1] == op9_secrets.COMMENTED
+    # a name assigned in a comment stands for nothing outside it
+    assert op9_secrets.named_literals('# K = "Zx81qW9rT5kk"\npassword = K') == []
+
+
+def test_secrets_of_repeated_rows_and_null_ids(spark):
+    text = 'password = "Zx81qW9rT5kk"'
+    rows = op9_secrets.scan(documents(spark, [text, text, None, ""], [1, 1, None, 2])).collect()
+    assert sorted((str(r["doc_id"]), r["n_named"]) for r in rows) == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
