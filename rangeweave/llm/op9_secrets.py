@@ -49,7 +49,7 @@ THRESHOLD = 70
 MIN_LITERAL = 8
 #: What a literal in a comment scores less.
 COMMENTED = 10
-_PLACEHOLDER = re.compile(r"[<\[{$%].*|(.)\1*|(?i:change_?me|example|placeholder|your[-_].*|none|null|true|false|todo)")
+_PLACEHOLDER = re.compile(r"(?i:change_?me|example|placeholder|none|null|true|false|todo)")
 _NAME = re.compile(r"""(?<![A-Za-z0-9_.-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+""")
 _TERM = re.compile(
     r"""(?:"(?P<d>[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+)"|'(?P<s>[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+)'|(?P<n>[A-Za-z_][A-Za-z0-9_]*+)(?![^\s;,)\]}+])|(?P<b>[^\s;,"'(){}\[\]]++))"""
@@ -128,11 +128,22 @@ def _sensitivity(name: str) -> int:
     return max((score for part, score in SENSITIVE.items() if part in plain), default=0)
 
 
-def _mix(literal: str) -> int:
-    """0 to 30: bits of entropy per character, six of them being the most that count."""
-    n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    return round(5 * min(6.0, bits))
+def _mixes(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], int]]:
+    """Each span and its literal's 0 to 30: bits of entropy per character, six of them being the most that count; -1 for a
+    placeholder. Literals may end at one place, as those of ``a=b=c`` do: characters are counted from the end on, once."""
+    counts: Counter[str] = Counter()
+    last = (0, -1)
+    for start, end in sorted(spans, key=lambda x: (x[1], -x[0])):
+        if end != last[1]:
+            counts, last = Counter(), (end, end)
+        counts.update(text[start : last[0]])
+        last = start, end
+        n = end - start
+        whole = text[start] in "<[{$%" or text[start : start + 5].lower() in ("your-", "your_")
+        if len(counts) == 1 or whole and text.find("\n", start, end) < 0 or _PLACEHOLDER.fullmatch(text, start, end):
+            yield (start, end), -1
+        else:
+            yield (start, end), round(5 * min(6.0, -sum(c / n * math.log2(c / n) for c in counts.values())))
 
 
 def _fields(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
@@ -167,7 +178,7 @@ def named_literals(text: str) -> list[tuple[int, int, int]]:
     known: dict[tuple[int, str], int] = {}  # the last assignment of each name, by scope
     chains: list[tuple[int, list[tuple[int, int]], list[int]]] = []  # sensitivity, own literals, earlier assignments
     open_ended: set[str] = set()
-    block_end = 0
+    block_end, bare = 0, (0, 0)
     for m in _NAME.finditer(text):
         at, parts, names, where = m.end(), [], [], scope(m.start())
         if text[at - 1 : at] != "=" and (kind := _TYPE.match(text, at)) and ":" in m[0][len(m[1]) :]:
@@ -186,12 +197,16 @@ def named_literals(text: str) -> list[tuple[int, int, int]]:
             if end >= 0:
                 parts.append((at + len(quote), end))
                 at = end + len(quote)
+            elif bare[0] < at < bare[1]:  # inside a bare word: the rest of it
+                parts.append((at, bare[1]))
+                at = bare[1]
             elif term := _TERM.match(text, at):
                 if term["n"] is not None and (where, term["n"]) in known:
                     names.append(known[where, term["n"]])
                 else:
                     group = next(g for g in "dsnb" if term[g] is not None)
                     parts.append(term.span(group))
+                    bare = term.span("b") if group == "b" else bare
                 at = term.end()
             else:
                 break
@@ -215,11 +230,9 @@ def named_literals(text: str) -> list[tuple[int, int, int]]:
     for name, span in _fields(text):
         if score := _sensitivity(name):
             best[span] = max(best.get(span, 0), score)
-    for (start, end), score in list(best.items()):
-        literal = text[start:end]
-        able = end - start >= MIN_LITERAL and score + 30 >= THRESHOLD and not _PLACEHOLDER.fullmatch(literal)
-        best[start, end] = score + _mix(literal) - COMMENTED * (scope(start) >= 0) if able else 0
-    return sorted((start, end, min(100, score)) for (start, end), score in best.items() if score >= THRESHOLD)
+    able = [(a, b) for (a, b), score in best.items() if b - a >= MIN_LITERAL and score + 30 >= THRESHOLD]
+    scored = [(*span, best[span] + mix - COMMENTED * (scope(span[0]) >= 0)) for span, mix in _mixes(text, able) if mix >= 0]
+    return sorted((start, end, min(100, score)) for start, end, score in scored if score >= THRESHOLD)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import sentencepiece
@@ -317,3 +318,11 @@ def test_secrets_of_repeated_rows_and_null_ids(spark):
     text = 'password = "Zx81qW9rT5kk"'
     rows = op9_secrets.scan(documents(spark, [text, text, None, ""], [1, 1, None, 2])).collect()
     assert sorted((str(r["doc_id"]), r["n_named"]) for r in rows) == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
+
+
+def test_secrets_in_linear_time():
+    """No run of marks makes the lexer read a text again and again."""
+    for bad in ("x=#", "a:", "password:$password:", "password=ab", 'password="', '"""', "/*", "<!--", "a: |\n", "password: |\n  ", "<a>", "`", "{"):
+        text, began = bad * (200_000 // len(bad)), time.process_time()
+        op9_secrets.named_literals(text + " value </")
+        assert time.process_time() - began < 20, bad
