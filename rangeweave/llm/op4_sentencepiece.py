@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled to three machines: the normaliser (a dummy space in front, space to the mark U+2581), the
-pieces (a trie whose final states emit an id), and byte fallback (a character that no piece starts with emits its UTF-8
-bytes). Each input is composed with them and the path of least weight in the tropical semiring (min, +) gives the ids.
+The model file is compiled to three machines: the normaliser (:class:`Normaliser`: a dummy space in front, spaces to the
+mark U+2581, runs of spaces to one where the model says so), the pieces (a trie whose final states emit an id and lead back
+to its root), and byte fallback (an arc for each byte; a character that no piece starts with takes those of its UTF-8
+bytes). Each input is composed with them as it is read: the normaliser's output walks the trie from each place that has a
+path, and the path of least weight in the tropical semiring (min, +) gives the ids.
 
 Weights come from the model. In a unigram model a piece weighs minus its score. In a BPE model, segmentations are not
 ranked by a sum of scores, so the weight is on pairs of neighbouring pieces: 0 where merging the two pieces' characters
@@ -11,7 +13,8 @@ segmentation, and there is one, so a state is (place, last piece), each place ha
 shortest path equals the library's ids.
 
 No piece holds the mark after another character, so a path passes through every place where a run of marks begins; the
-lattice is cut there, and the paths of short stretches are remembered (``REMEMBER`` at most per Python worker).
+lattice is cut there, and the paths of short stretches are remembered. A Python worker holds ``REMEMBER`` of them and as
+many pair weights at most: some hundred MB when both are full, whatever the input.
 
 Edge cases: a null or empty text has no ids and decodes to the empty string. Decoding gives the text back exactly, save
 that a mark U+2581 written in the text comes back as a space (``round_trip`` is false there). Repeated rows and null
@@ -69,6 +72,38 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class Normaliser:
+    """A transducer over characters. ``arcs`` of a state: character to (output, next state); any other character takes the
+    state's ``copy`` arc (what is put before it, next state). Every state is final."""
+
+    def __init__(self, dummy: int, collapse: int, escape: int):
+        space = MARK if escape else " "
+        front = space if dummy else ""
+        if collapse:  # 0 before the text, 1 in it, 2 after spaces in it, which are lost at its end
+            self.arcs = {0: {" ": ("", 0)}, 1: {" ": ("", 2)}, 2: {" ": ("", 2)}}
+            self.copy = {0: (front, 1), 1: ("", 1), 2: (space, 1)}
+        else:
+            self.arcs = {0: {" ": (front + space, 1)}, 1: {" ": (space, 1)}}
+            self.copy = {0: (front, 1), 1: ("", 1)}
+        #: states that are never left: a character's output there doesn't depend on what came before
+        self.loops = {s: {ord(c): out for c, (out, _) in self.arcs[s].items()} for s in self.arcs if self.copy[s] == ("", s) and all(n == s for _, n in self.arcs[s].values())}
+
+    def run(self, text: str) -> str:
+        """The output of the path that reads a text."""
+        state, out = 0, []
+        for k, c in enumerate(text):
+            if state in self.loops:
+                out.append(text[k:].translate(self.loops[state]))
+                break
+            said, following = self.arcs[state].get(c, (None, 0))
+            if said is None:
+                before, following = self.copy[state]
+                said = before + c
+            out.append(said)
+            state = following
+        return "".join(out)
+
+
 class Transducer:
     """The compiled model: :meth:`encode` a text to little-endian 32-bit ids, :meth:`decode` them."""
 
@@ -84,7 +119,8 @@ class Transducer:
         rules = next((dict(_fields(v)) for k, v in fields if k == self.NORMALIZER), {})
         if rules.get(2):
             raise ValueError("normalisers with a character map are not supported")
-        self.dummy, self.collapse, self.escape = rules.get(3, 1), rules.get(4, 1), rules.get(5, 1)
+        self.dummy, self.escape = rules.get(3, 1), rules.get(5, 1)
+        self.normaliser = Normaliser(self.dummy, rules.get(4, 1), self.escape)
         self.bpe = trainer.get(3, 1) == 2
         texts = [p.get(1, b"").decode() for p in pieces]
         kinds = [p.get(3, self.NORMAL) for p in pieces]
@@ -115,15 +151,6 @@ class Transducer:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    # the normaliser
-
-    def normalize(self, text: str) -> str:
-        if self.collapse:
-            text = re.sub(" +", " ", text.strip(" "))
-        if self.dummy and text:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
-
     # weights
 
     def _merged(self, chars: list[str]) -> list[str]:
@@ -159,10 +186,6 @@ class Transducer:
 
     # composition and shortest path
 
-    def path(self, text: str) -> list[int]:
-        """Ids along the shortest path through a stretch of normalised text."""
-        return self._only_path(text) if self.bpe else self._best_path(text)
-
     def _fallback(self, char: str) -> list[int]:
         ids = [self.bytes.get(b) for b in char.encode()]
         return [self.unknown] if None in ids or not ids else ids
@@ -181,49 +204,25 @@ class Transducer:
             out.insert(0, (i + 1, CHARACTER))
         return out
 
-    def _only_path(self, text: str) -> list[int]:
-        """With weights 0 and infinity a complete path of weight 0 is shortest: depth first, longest arcs first. A place
-        has one state of finite weight, so a place that was left without success isn't entered again."""
-        n, size, pairs = len(text), self.size, self.pairs
-        taken: list[tuple[int, int, list]] = []
-        failed: set[int] = set()
-        i, last, arcs = 0, START, self._arcs(text, 0) if text else []
-        while i < n:
-            while arcs:
-                j, piece = arcs.pop()
-                if j in failed:
-                    continue
-                if piece == CHARACTER:
-                    break
-                weight = pairs.get((last + 1) * size + piece) if last >= 0 else None
-                if (self.weight(last, piece) if weight is None else weight) == 0.0:
-                    break
-            else:
-                failed.add(i)
-                i, last, arcs = taken.pop()
-                continue
-            taken.append((i, last, arcs))
-            i, last = j, piece
-            arcs = self._arcs(text, i) if i < n else []
-        starts = [x[0] for x in taken] + [n]
-        pieces = [x[1] for x in taken[1:]] + [last]
-        ids: list[int] = []
-        for k, piece in enumerate(pieces if taken else []):
-            if piece == CHARACTER:
-                ids += self._fallback(text[starts[k] : starts[k + 1]])
-            else:
-                ids.append(piece)
-        return ids
-
-    def _best_path(self, text: str) -> list[int]:
-        n = len(text)
+    def path(self, text: str) -> list[int]:
+        """Ids along the shortest path through a stretch of normalised text: places in order, arcs relaxed by (min, +)."""
+        n, bpe, size, pairs, scores = len(text), self.bpe, self.size, self.pairs, self.scores
         cost, last, back = [math.inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
+            here, before = cost[i], last[i]
+            if here == math.inf:  # no path comes here
+                continue
             for j, piece in self._arcs(text, i):
-                total = cost[i] + (self.unknown_cost if piece == CHARACTER else self.weight(last[i], piece))
-                if total < cost[j]:
-                    cost[j], last[j], back[j] = total, piece, i
+                if piece == CHARACTER:
+                    weight = 0.0 if bpe else self.unknown_cost
+                elif bpe:
+                    weight = pairs.get((before + 1) * size + piece) if before >= 0 else None
+                    weight = self.weight(before, piece) if weight is None else weight
+                else:
+                    weight = -scores[piece]
+                if here + weight < cost[j]:
+                    cost[j], last[j], back[j] = here + weight, piece, i
         ids: list[int] = []
         while n:
             ids += self._fallback(text[back[n] : n])[::-1] if last[n] == CHARACTER else [last[n]]
@@ -249,7 +248,7 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         ids = self._stretch_ids
-        return b"".join([self.known.get(s) or ids(s) for s in self.stretch.findall(self.normalize(text))])
+        return b"".join([self.known.get(s) or ids(s) for s in self.stretch.findall(self.normaliser.run(text))])
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

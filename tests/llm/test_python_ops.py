@@ -326,3 +326,15 @@ def test_secrets_in_linear_time():
         text, began = bad * (200_000 // len(bad)), time.process_time()
         op9_secrets.named_literals(text + " value </")
         assert time.process_time() - began < 20, bad
+
+
+def test_normaliser_against_plain_string_work():
+    texts = ["", " ", "a", " a", "a ", "  a  b\n c  ", "a b", "▁ x", "   ", "a\n\n b"]
+    for dummy in (0, 1):
+        for collapse in (0, 1):
+            for escape in (0, 1):
+                machine = op4_sentencepiece.Normaliser(dummy, collapse, escape)
+                for t in texts:
+                    want = re.sub(" +", " ", t.strip(" ")) if collapse else t
+                    want = " " + want if dummy and want else want
+                    assert machine.run(t) == (want.replace(" ", "▁") if escape else want), (t, dummy, collapse, escape)
