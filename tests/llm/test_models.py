@@ -265,9 +265,9 @@ def test_stages_against_brute_force(spark, sf_dir, stages):
 
     ids = sorted(kept)
     after = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.collect()}
-    short = [i for i in ids if len(texts[i]) < 6000]
-    if len(short) == len(ids):
-        assert {i: t for i, (t, _) in after.items()} == dict(zip(ids, brute([texts[i] for i in ids]), strict=True))
+    few = sorted(sorted(kept, key=lambda i: len(texts[i]))[:40])
+    alone = corpus_pipeline.line_dedup(spark, docs.where(F.col("doc_id").isin(few)), sf_dir)
+    assert {r["doc_id"]: r["text"] for r in alone.collect()} == dict(zip(few, brute([texts[i] for i in few]), strict=True))
     assert set(after) == kept and all(n == len(t) for t, n in after.values())
 
     group = closure([fingerprint(after[i][0]) for i in ids], 2)
@@ -277,9 +277,31 @@ def test_stages_against_brute_force(spark, sf_dir, stages):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {i for i in firsts for _, t in items if t in after[i][0]}
     left = {r["doc_id"] for r in clean.collect()}
-    assert not leaked & left and len(firsts - left) <= len(leaked) + 1
+    order = sorted(firsts)
+    alike = {order[k] for k, _ in brute_leaks(items, [after[i][0] for i in order])}  # in order somewhere in the whole text
+    assert not leaked & left and leaked <= firsts - left <= leaked | alike
     assert {r["doc_id"] for r in encoded.collect()} == left and encoded.where("NOT round_trip").count() == 0
 
 
+def test_awkward_tables_through_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns of clashing names; and an empty table."""
+    good = [prose(i, 80, 10_000) for i in range(4)]
+    rows = [(k, t, "en", f"h{k % 2}", 0) for k, t in enumerate([*AWKWARD, *good])]
+    rows += [(None, good[0] + "\nlast line", None, None, None), (50, good[1], "en", "h0", 1), (50, good[1], "en", "h0", 1), (51, prose(77, 30_000, 20_000), "en", "h1", 1)]
+    names = ["row", "h", "id", "none", "c0", "t", "leaks", "failed", "__q", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    spark.createDataFrame([(1, good[2]), (None, None), (2, "")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, out, str(tmp_path)))
+        assert name == "sentencepiece" or out.columns == docs.columns
+    # repeated lines go: the row without an id keeps its last line, of the two rows 50 one stays, empty; 11 is a benchmark item
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["10", "12", "50", "51", "9", "None"]
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+
+
 def test_run(spark, sf_dir, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, stages[-1].collect()))
