@@ -92,6 +92,19 @@ def covered(parts: DataFrame, by: str) -> DataFrame:
     )
 
 
+def uncovered(spans: DataFrame, parts: DataFrame, by: str) -> DataFrame:
+    """(by, part) of what no part covers: between parts, after the last, and all of a span without any."""
+    w = Window.partitionBy(by).orderBy("part.begin")
+    at = parts.withColumn("__before", F.lag("part.end").over(w)).withColumn("__first", F.lag("part.begin").over(w).isNull())
+    low = F.when(F.col("__first"), F.col("span.begin")).otherwise(F.col("__before"))
+    inner = at.where(low < F.col("part.begin")).select(by, ranges.struct(low, F.lit(True), F.col("part.begin"), F.lit(False)).alias("part"))
+    last = parts.groupBy(by).agg(F.max("part.end").alias("__end"), F.max(F.col("part.end").isNull()).alias("__open"), F.first("span").alias("span"))
+    rest = last.where(~F.col("__open") & (F.col("span.end").isNull() | (F.col("__end") < F.col("span.end"))))
+    tail = rest.select(by, ranges.struct(F.col("__end"), F.lit(True), F.col("span.end"), F.col("span.end_closed")).alias("part"))
+    none = spans.join(parts.select(by).distinct(), by, "left_anti").select(by, F.col("span").alias("part"))
+    return inner.unionByName(tail).unionByName(none)
+
+
 def vnode_starts(n: int) -> list[int]:
     """Four-byte suffixes of the vnodes that begin inside a namespace asked to have n: multiples of an even step below the
     greatest suffix. The vnode at the namespace's own start comes on top."""

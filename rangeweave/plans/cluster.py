@@ -71,11 +71,12 @@ def failed_hosts(spark, d):
     return S.failed_hosts(hosts, table(spark, d, "customer").where("c_nationkey % 4 <> 1").select(F.col("c_nationkey").alias("host")), "host")
 
 
-@query("failed_hosts_cut_off", "SELECT n_nationkey AS host FROM nation WHERE false")
+@query("failed_hosts_cut_off", "SELECT 'near' AS reader, n_nationkey AS host FROM nation WHERE n_nationkey % 4 = 1")
 def failed_hosts_cut_off(spark, d):
-    """More than half are missing: the reader is cut off, nobody failed."""
+    """Two readers: one misses more than half, so it is cut off and nobody failed; the other misses a quarter, which has."""
     hosts = table(spark, d, "nation").select(F.col("n_nationkey").alias("host"))
-    return S.failed_hosts(hosts, hosts.where("host % 4 = 1"), "host")
+    off, near = (S.failed_hosts(hosts, hosts.where(seen), "host") for seen in ("host % 4 = 1", "host % 4 <> 1"))
+    return off.select(F.lit("off").alias("reader"), "host").unionByName(near.select(F.lit("near").alias("reader"), "host"))
 
 
 @query("assign_ids", "SELECT r_name AS address, CASE WHEN n <= 2 THEN [1, 3][n] ELSE 10 + n - 3 END::BIGINT AS id FROM (SELECT r_name, row_number() OVER (ORDER BY r_name) AS n FROM region)")
