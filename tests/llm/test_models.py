@@ -49,10 +49,11 @@ def brute_leaks(items, texts):
 
     idf = {w: math.log((1 + n) / (1 + segments[w])) + 1e-3 for w in vocabulary}
     found = set()
+    wanted = [(item, word.findall(t.lower())) for item, t in items]
     for k, w in enumerate(split):
-        for item, t in items:
-            want = word.findall(t.lower())
-            if sum(idf[x] for x in want if x in set(w)) < 0.6 * sum(idf[x] for x in want):
+        have = set(w)
+        for item, want in wanted:
+            if sum(idf[x] for x in want if x in have) < 0.6 * sum(idf[x] for x in want):
                 continue
             row = [0.0] * (len(w) + 1)
             for x in want:
@@ -74,7 +75,7 @@ def test_leaks(spark, monkeypatch):
     items, texts, want = items_and_texts()
     docs = documents(spark, texts)
     assert leaks(docs, items) == want == brute_leaks(items, texts)
-    monkeypatch.setattr(op5_decontamination, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(op5_decontamination, "BLOCK_BYTES", 6000)
     assert leaks(docs, items) == want
 
 
