@@ -230,6 +230,18 @@ def test_even_buckets_and_route(spark):
     assert catalog.route(rows, vnodes.limit(0)).count() == 0 == catalog.route(rows.limit(0), vnodes).count()
 
 
+def test_collocation_of_large_keys(spark, tmp_path):
+    """Vnodes go on as far as there are keys."""
+    from rangeweave.registry import QUERIES
+
+    users = [0, 599, 14_399, 15_000, 15_599, 15_600, 90_000, 10**9]
+    rows = [(10 * k + s, u) for k, u in enumerate(users) for s in range(7)]
+    spark.createDataFrame(rows, "event_id long, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(n, n % 5) for n in range(25)], "n_nationkey int, n_regionkey int").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    got = {r["pos"]: r["collocated"] for r in QUERIES["collocation_check"](spark, str(tmp_path)).collect()}
+    assert got == {e: u // 600 == (u + e % 7 * 100) // 600 for e, u in rows}
+
+
 def test_byte_prefix_in_one_namespace(spark):
     r = random.Random(2)
     cells = sorted((b"namespace-of-all" + r.randbytes(4), r.randbytes(r.randrange(40))) for _ in range(3000))
