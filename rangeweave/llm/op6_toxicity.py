@@ -6,7 +6,7 @@ seen the row. The labels table has two categories, low quality (quality 0) and t
 takes any list.
 
 A model is a logistic regression with a ridge, fitted by Newton steps, on the words whose share differs most between the
-classes (a two-sample z of ``MIN_Z`` or more, ``MAX_WORDS`` at most). It is fitted in one task per category and fold on
+classes (a two-sample z of ``MIN_Z`` or more, ``MAX_WORDS`` at most), counted in a grouping by word. It is fitted in one task per category and fold on
 at most ``TRAIN_ROWS`` labelled texts, those whose doc_id has the smallest hashes. A category is given from the threshold
 on that serves its out-of-fold probabilities best (:func:`best_threshold`). Every document is scored.
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangeweave.llm.common import table, whole, written
@@ -38,6 +39,8 @@ FOLDS = 3
 ALL = -1
 MIN_Z, MIN_ROWS, MAX_WORDS = 4.0, 5, 1024
 RIDGE, STEPS = 1.0, 20
+#: Rows whose numbers are worked out at a time; the words of all rows of a fit are a byte each.
+BLOCK_ROWS = 1024
 #: Category: its mark (1 or 0) as an SQL expression over the labels table.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 _UPPER = bytes(range(65, 91))
@@ -74,36 +77,38 @@ class Model:
         self.vocabulary = np.zeros(0, np.uint64)
         self.weights: np.ndarray | None = None
 
-    def design(self, found: Sequence[np.ndarray], numbers: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(found), len(self.vocabulary)), np.float32)
+    def marks(self, found: Sequence[np.ndarray]) -> np.ndarray:
+        """A byte per text and word of the vocabulary: 1 where the text has the word."""
+        x = np.zeros((len(found), len(self.vocabulary)), np.uint8)
         sizes = np.array([len(f) for f in found])
         if len(self.vocabulary) and sizes.sum():
             every, row = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
             at = np.minimum(np.searchsorted(self.vocabulary, every), len(self.vocabulary) - 1)
             hit = self.vocabulary[at] == every
             x[row[hit], at[hit]] = 1
+        return x
+
+    def design(self, marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         scaled = (numbers - self.center) / self.scale
-        return np.concatenate([x, scaled.astype(np.float32), np.ones((len(found), 1), np.float32)], axis=1)
+        return np.concatenate([marks, scaled.astype(np.float32), np.ones((len(marks), 1), np.float32)], axis=1, dtype=np.float32)
+
+    def _steps(self, n: int) -> Iterator[slice]:
+        return (slice(a, a + BLOCK_ROWS) for a in range(0, n, BLOCK_ROWS))
 
-    def fit(self, found: Sequence[np.ndarray], numbers: np.ndarray, y: np.ndarray) -> Model:
+    def fit(self, marks: np.ndarray, numbers: np.ndarray, y: np.ndarray) -> Model:
         self.center, self.scale = numbers.mean(axis=0), np.maximum(numbers.std(axis=0), 1e-9)
-        every, marks = np.concatenate(found), np.repeat(y, [len(f) for f in found])
-        known, at = np.unique(every, return_inverse=True)
-        rows, bad = np.bincount(at, minlength=len(known)), np.bincount(at, weights=marks, minlength=len(known))
-        n1, n0 = y.sum(), len(y) - y.sum()
-        p = rows / len(y)
-        z = (bad / n1 - (rows - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        able = np.flatnonzero((np.abs(z) >= MIN_Z) & (rows >= MIN_ROWS))
-        self.vocabulary = np.sort(known[able[np.argsort(-np.abs(z[able]), kind="stable")][:MAX_WORDS]])
-        x = self.design(found, numbers).astype(np.float64)
-        ridge = np.full(x.shape[1], RIDGE)
+        ridge = np.full(len(self.vocabulary) + numbers.shape[1] + 1, RIDGE)
         ridge[-1] = 0.0
-        w = np.zeros(x.shape[1])
+        w = np.zeros(len(ridge))
         w[-1] = np.log(self.share / (1 - self.share))
         for _ in range(STEPS):
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (y - q) - ridge * w
-            step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge + 1e-6), slope)
+            slope, curve = -ridge * w, np.diag(ridge + 1e-6)
+            for at in self._steps(len(y)):
+                x = self.design(marks[at], numbers[at]).astype(np.float64)
+                q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                slope += x.T @ (y[at] - q)
+                curve += (x * (q * (1 - q))[:, None]).T @ x
+            step = np.linalg.solve(curve, slope)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -113,7 +118,8 @@ class Model:
     def predict(self, found: Sequence[np.ndarray], numbers: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(found), float(self.share))
-        return 1 / (1 + np.exp(-np.clip(self.design(found, numbers) @ self.weights, -30, 30)))
+        p = [1 / (1 + np.exp(-np.clip(self.design(self.marks(found[at]), numbers[at]) @ self.weights, -30, 30))) for at in self._steps(len(found))]
+        return np.concatenate(p) if p else np.zeros(0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -143,20 +149,59 @@ def _arrays(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], np.stack(rows["numbers"].to_list()).astype(float)
 
 
+def _vocabularies(train: DataFrame, label: str) -> dict[int, np.ndarray]:
+    """The words of each group's model: of those in ``MIN_ROWS`` of its texts, those whose share differs most."""
+    y, word = F.col(label), F.col("word")
+    totals = {r["fold"]: (r["n"], r["n1"]) for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1")).collect()}
+    own = lambda x, f: F.sum(F.when(F.col("fold") == f, x).otherwise(0.0))
+    counts = train.select("fold", label, F.explode("words").alias("word")).groupBy("word").agg(*[own(x, f).alias(f"{name}{f}") for f in range(FOLDS) for name, x in (("n", F.lit(1.0)), ("b", y))])
+    scored = []
+    for part in (ALL, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != part]
+        n, n1 = (sum(totals.get(f, (0, 0.0))[k] for f in folds) for k in (0, 1))
+        if 0 < n1 < n:
+            rows, bad = (sum((F.col(f"{name}{f}") for f in folds), F.lit(0.0)) for name in "nb")
+            p = rows / n
+            z = F.abs((bad / n1 - (rows - bad) / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1))))
+            scored.append(F.when((rows >= MIN_ROWS) & (z >= MIN_Z), F.struct(F.lit(part).alias("part"), z.alias("z"))))
+    found: dict[int, list[int]] = {}
+    if scored:
+        best = W.partitionBy("part").orderBy(F.desc("z"), word.bitwiseXOR(F.lit(-1 << 63)))  # hashes count as unsigned
+        rows = counts.select("word", F.explode(F.array_compact(F.array(*scored))).alias("s")).select("word", "s.*")
+        for r in rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MAX_WORDS).select("part", "word").collect():  # FOLDS + 1 vocabularies
+            found.setdefault(r["part"], []).append(r["word"])
+    return {part: np.sort(np.array(w, np.int64).view(np.uint64)) for part, w in found.items()}
+
+
 def _fit_groups(train: DataFrame, label: str) -> dict[int, Model]:
-    """Models by fold that were fitted without it, and the one of all rows: a task for each."""
+    """Models by fold that were fitted without it, and the one of all rows: a task for each. Rows come to it with a bit
+    for each word of its vocabulary."""
+    vocabularies = _vocabularies(train, label)
+
+    def model(part: int, share: float) -> Model:
+        out = Model(share)
+        out.vocabulary = vocabularies.get(part, out.vocabulary)
+        return out
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found, _ = _arrays(rows)
+            for part in (ALL, *range(FOLDS)):
+                at = np.flatnonzero(rows["fold"].to_numpy() != part)
+                bits = np.packbits(model(part, 0.0).marks([found[i] for i in at]), axis=1)
+                yield rows.iloc[at][["place", "numbers", label]].assign(part=part, marks=[b.tobytes() for b in bits])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", kind="stable")
-        y = rows[label].to_numpy(float)
-        model = Model(float(y.mean()))
-        if 0 < model.share < 1:
-            model.fit(*_arrays(rows), y)
-        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "model": [pickle.dumps(model)]})
-
-    parts = F.array(F.lit(ALL), *[F.when(F.col("fold") != f, f) for f in range(FOLDS)])
-    spread = train.select("*", F.explode(F.array_compact(parts)).alias("part"))
-    return {r["part"]: pickle.loads(bytes(r["model"])) for r in spread.groupBy("part").applyInPandas(one, "part int, model binary").collect()}  # FOLDS + 1 models
+        y, part = rows[label].to_numpy(float), int(rows["part"].iloc[0])
+        out = model(part, float(y.mean()))
+        if 0 < out.share < 1:
+            bits = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)
+            out.fit(np.unpackbits(bits, axis=1, count=len(out.vocabulary)), np.stack(rows["numbers"].to_list()).astype(float), y)
+        return pd.DataFrame({"part": [part], "model": [pickle.dumps(out)]})
+
+    rows = train.mapInPandas(spread, f"place long, numbers array<double>, {label} double, part int, marks binary")
+    return {r["part"]: pickle.loads(bytes(r["model"])) for r in rows.groupBy("part").applyInPandas(one, "part int, model binary").collect()}  # FOLDS + 1 models
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:

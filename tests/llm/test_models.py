@@ -212,6 +212,51 @@ def test_chain_against_brute_force(spark):
         assert 0 < chain[k].threshold < 1
 
 
+def test_memory_of_a_fit(monkeypatch):
+    """Beyond its rows a fit takes a few bytes at most for each row and word (over 16 in double precision); its weights
+    don't depend on the block."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    n, n_words = 20_000, 1000
+    y = (r.random(n) < 0.5).astype(float)
+    bits = np.packbits(r.random((n, n_words)) < 0.03 + 0.02 * y[:, None], axis=1)
+    numbers = r.random((n, 5))
+
+    def fit(rows):
+        model = op6_toxicity.Model(float(y[:rows].mean()))
+        model.vocabulary = np.arange(n_words, dtype=np.uint64)
+        return model.fit(np.unpackbits(bits[:rows], axis=1, count=n_words), numbers[:rows], y[:rows])
+
+    tracemalloc.start()
+    fit(n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n * n_words
+    few = fit(2500).weights
+    monkeypatch.setattr(op6_toxicity, "BLOCK_ROWS", 5000)
+    assert np.allclose(fit(2500).weights, few, atol=1e-6)
+
+
+def test_words_of_the_models(spark, monkeypatch):
+    """Each group's words are those of a count over all its rows."""
+    monkeypatch.setattr(op6_toxicity, "MAX_WORDS", 7)
+    r = np.random.default_rng(2)
+    vocabulary = np.sort(r.integers(0, 1 << 64, 30, dtype=np.uint64))
+    y, fold = (r.random(600) < 0.4).astype(float), r.integers(0, 3, 600)
+    has = r.random((600, 30)) < 0.05 + 0.5 * r.random(30) * y[:, None]
+    rows = [(k, int(fold[k]), vocabulary[has[k]].view(np.int64).tolist(), [1.0], float(y[k])) for k in range(600)]
+    got = op6_toxicity._vocabularies(spark.createDataFrame(rows, "place long, fold int, words array<long>, numbers array<double>, y double"), "y")
+    for part in (-1, 0, 1, 2):
+        at = fold != part
+        n1, n0, count, bad = y[at].sum(), (1 - y[at]).sum(), has[at].sum(0), (has[at] * y[at][:, None]).sum(0)
+        p = count / at.sum()
+        z = np.abs((bad / n1 - (count - bad) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+        z[(count < 5) | (z < 4)] = 0
+        best = [k for k in np.argsort(-z, kind="stable")[:7] if z[k]]
+        assert len(best) >= 5 and got[part].tolist() == np.sort(vocabulary[best]).tolist()
+
+
 def test_best_threshold():
     p, y = np.array([0.9, 0.8, 0.8, 0.3, 0.2, 0.1]), np.array([1, 1, 1, 0, 0, 0])
     assert op6_toxicity.best_threshold(p, y) == pytest.approx(0.55)
