@@ -7,8 +7,8 @@ to an item), with document frequencies counted over the segments of all document
 against the item word by word.
 
 The SVD is a distributed randomised one: workers multiply their part of the passage matrix A with a random block,
-the sums of A'(AQ) are orthonormalised, ``POWERS`` times over. It is fitted on the passages of about ``SAMPLE_DOCS``
-different texts, a share by text hash, and the items themselves, weighed so that both have the same energy.
+the sums of A'(AQ) are orthonormalised, ``POWERS`` times over. It is fitted on all passages of all documents (read once
+and kept as sparse rows) and the items themselves, weighed so that both have the same energy.
 All passages of all documents are then searched. ``COSINE`` is low, as a short item fills little more than half of its
 window, and words in between that other items use lower the cosine even of an exact copy.
 
@@ -41,9 +41,8 @@ from rangeweave.llm.hashing import words
 SEGMENT = 16
 RANK = 96
 POWERS = 2
-SAMPLE_DOCS = 20_000
-#: Partitions of the sample: so many blocks of sums come to the driver one after the other, whatever the input.
-SKETCH_PARTS = 12
+#: Words of the vocabulary whose sums over all parts are added up in one group.
+PIECE = 64
 COSINE = 0.4
 SAME, PARAPHRASED, ANSWER = 0.8, 0.6, 0.9
 ANSWER_WORDS = 8
@@ -147,17 +146,39 @@ def _segments(b: Benchmark, hashes: np.ndarray, whose: np.ndarray) -> tuple[np.n
     return b.look_up(hashes), segment, first
 
 
-def _count(b: Benchmark, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments that hold each word of the vocabulary; all segments as term -1."""
+def _read(b: Benchmark, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages (here pairs of segments) as sparse rows, a buffer of texts at a time: how many different words of the
+    vocabulary each has, which, and how often. Then a row with the segments that hold each word, and with all segments."""
     counts, segments = np.zeros(len(b.vocabulary), np.int64), 0
     for rows in batches:
         for hashes, whose, *_ in words(rows["t"].tolist()):
             if len(hashes):
-                terms, segment, _ = _segments(b, hashes, whose)
-                has = terms >= 0
-                counts += np.bincount(np.unique(segment[has] * len(b.vocabulary) + terms[has]) % len(b.vocabulary), minlength=len(b.vocabulary))
-                segments += int(segment[-1]) + 1
-    yield pd.DataFrame({"term": np.arange(-1, len(counts)), "n": np.concatenate(([segments], counts))})
+                terms, segment, first = _segments(b, hashes, whose)
+                has, n = terms >= 0, int(segment[-1]) + 1
+                segments += n
+                if not has.any():
+                    continue
+                runs = np.diff(np.append(first, n))
+                halves = (runs + 1) // 2
+                passage_of = np.repeat(np.cumsum(halves) - halves, runs) + (np.arange(n) - np.repeat(first, runs)) // 2
+                pairs, often = np.unique(segment[has] * len(b.vocabulary) + terms[has], return_counts=True)
+                segment, term = np.divmod(pairs, len(b.vocabulary))
+                counts += np.bincount(term, minlength=len(b.vocabulary))
+                passage = passage_of[segment]
+                order = np.argsort(passage * len(b.vocabulary) + term, kind="stable")  # a word of both segments is there twice
+                sizes = np.diff(np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(passage)))
+                yield pd.DataFrame({"sizes": [sizes.astype(np.uint8).tobytes()], "terms": [term[order].astype(np.int32).tobytes()], "often": [often[order].astype(np.uint8).tobytes()], "segments": [0]})
+    yield pd.DataFrame({"sizes": [b""], "terms": [counts.tobytes()], "often": [b""], "segments": [segments]})
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, n) of the counts of :func:`_read`, and all segments as term -1."""
+    total, segments = 0, 0
+    for rows in batches:
+        for x, n in zip(rows["terms"], rows["segments"], strict=True):
+            total, segments = total + np.frombuffer(x, np.int64), segments + n
+    if segments:
+        yield pd.DataFrame({"term": np.arange(-1, len(total)), "n": np.concatenate(([segments], total))})
 
 
 def _add_product(total: np.ndarray, block: np.ndarray, row: np.ndarray, term: np.ndarray, values: np.ndarray) -> None:
@@ -169,47 +190,51 @@ def _add_product(total: np.ndarray, block: np.ndarray, row: np.ndarray, term: np
 
 
 def _sketch(b: Benchmark, block: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """This part's A'(A block), and its share of A's energy. Passages here are pairs of segments."""
-    total, energy = np.zeros(block.shape), 0.0
+    """This part's A'(A block) in pieces of ``PIECE`` words, and its share of A's energy."""
+    total, energy, block = np.zeros(block.shape), 0, block.astype(np.float32)
     for rows in batches:
-        for hashes, whose, *_ in words(rows["t"].tolist()):
-            if not len(hashes):
-                continue
-            terms, segment, _ = _segments(b, hashes, whose)
-            has = terms >= 0
-            pairs, counts = np.unique(segment[has] // 2 * len(b.vocabulary) + terms[has], return_counts=True)
-            passage, term = np.divmod(pairs, len(b.vocabulary))
-            values = counts * b.idf[term]
-            if not len(pairs):
-                continue
-            starts = np.flatnonzero(np.diff(passage, prepend=-1))
-            norm = np.sqrt(np.add.reduceat(values**2, starts))
-            _add_product(total, block, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(passage)))), term, values / np.repeat(norm, np.diff(np.append(starts, len(passage)))))
-            energy += len(starts)
-    yield pd.DataFrame({"sums": [total.astype(np.float64).tobytes()], "energy": [energy]})
+        for sizes, terms, often in zip(rows["sizes"], rows["terms"], rows["often"], strict=True):
+            sizes, term = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(terms, np.int32)
+            values = np.frombuffer(often, np.uint8) * b.idf[term]
+            # the square of a passage's length: words that are there twice count with their sum
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])))
+            row, term, values = row[new], term[new], np.add.reduceat(values, new)
+            norm = np.sqrt(np.bincount(row, weights=values**2, minlength=len(sizes)))
+            _add_product(total, block, row, term, (values / norm[row]).astype(np.float32))
+            energy += len(sizes)
+    at = range(0, len(total), PIECE)
+    yield pd.DataFrame({"piece": list(at), "sums": [total[a : a + PIECE].tobytes() for a in at], "energy": [float(energy)] * len(at)})
+
+
+def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    sums = sum(np.frombuffer(x, np.float64) for x in rows["sums"])
+    return pd.DataFrame({"piece": rows["piece"].iloc[:1], "sums": [sums.tobytes()], "energy": [rows["energy"].sum()]})
 
 
 def fit(docs: DataFrame, items: list[tuple[int | None, str]], rank: int = RANK, seed: int = 7) -> Benchmark:
-    """The items with IDF weights from all of ``docs`` (a column ``t`` of bytes) and a latent basis."""
+    """The items with IDF weights and a latent basis, both from all of ``docs`` (a column ``t`` of bytes)."""
     b = Benchmark(items)
     n = len(b.vocabulary)
     if not n:
         return b
-    counted = docs.mapInPandas(lambda batches: _count(b, batches), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row per word of the block's items
+    read = written(docs.mapInPandas(lambda batches: _read(b, batches), "sizes binary, terms binary, often binary, segments long"))
+    is_count = F.length("sizes") == 0
+    counted = read.where(is_count).select("terms", "segments").mapInPandas(_summed, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row per word of the block's items
     frequencies = np.zeros(n + 1, np.int64)
     frequencies[counted["term"].to_numpy() + 1] = counted["n"].to_numpy()
     b.weigh(frequencies[1:], int(frequencies[0]))
-    share = max(1, docs.count() // SAMPLE_DOCS)
-    sample = written(docs.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).dropDuplicates(["t"]).repartition(SKETCH_PARTS))
+    passages = read.where(~is_count).select("sizes", "terms", "often")
     rank = min(rank, n)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0]
     own = b.item_rows()
+    schema = "piece long, sums binary, energy double"
     for _ in range(POWERS):
-        parts = written(sample.mapInPandas(lambda batches, q=block: _sketch(b, q, batches), "sums binary, energy double"))
         sums, energy = np.zeros((n, rank)), 0.0
-        for p in parts.toLocalIterator():  # SKETCH_PARTS blocks at most, one at a time
-            sums += np.frombuffer(p["sums"], np.float64).reshape(n, rank)
-            energy += p["energy"]
+        parts = passages.mapInPandas(lambda batches, q=block: _sketch(b, q, batches), schema).groupBy("piece").applyInPandas(_add_up, schema)
+        for p in parts.collect():  # one block of n by rank
+            sums[p["piece"] : p["piece"] + PIECE] = np.frombuffer(p["sums"], np.float64).reshape(-1, rank)
+            energy = p["energy"]
         mine = np.zeros((n, rank))
         _add_product(mine, block, *own)
         sums += max(1.0, energy / max(len(b.words), 1)) * mine

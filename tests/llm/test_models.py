@@ -79,6 +79,31 @@ def test_leaks(spark, monkeypatch):
     assert leaks(docs, items) == want
 
 
+def test_basis_of_all_passages(spark):
+    """Weights and basis are those of a dense matrix of all passages of all texts, copies too."""
+    items, texts, _ = items_and_texts()
+    texts = [t for t in texts if t] + texts[-9:] * 4  # copies count as often as they are there
+    frame = documents(spark, texts).select(F.col("text").cast("binary").alias("t")).repartition(5)
+    b = op5_decontamination.fit(frame, items, rank=20)
+    at, segments, rows = {int(h): k for k, h in enumerate(b.vocabulary)}, [], []
+    for t in texts:
+        terms = [at.get(int(h), -1) for h in op5_decontamination._hashes(t)]
+        parts = [terms[k : k + 16] for k in range(0, len(terms), 16)]
+        segments += parts
+        rows += [[x for p in parts[k : k + 2] for x in p if x >= 0] for k in range(0, len(parts), 2)]
+    n = len(at)
+    idf = np.log((1 + len(segments)) / (1 + np.bincount([x for p in segments for x in set(p) if x >= 0], minlength=n))) + 1e-3
+    assert np.allclose(b.idf, idf)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(np.array([np.bincount(r, minlength=n) * idf for r in rows if r]))
+    own = unit(np.array([np.bincount(t, minlength=n) * idf for t in b.terms]))
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, 20)))[0]
+    for _ in range(op5_decontamination.POWERS):
+        q = np.linalg.svd(a.T @ (a @ q) + max(1.0, len(a) / len(own)) * own.T @ (own @ q), full_matrices=False)[0]
+    found = b.basis / idf[:, None]
+    assert np.allclose(found @ found.T, q @ q.T, atol=1e-3)
+
+
 @pytest.mark.parametrize("length", [257, 258, 900])
 def test_long_items_are_judged_whole(spark, length):
     """Neither a part of a long item nor its end is a leak; the whole is, and so is a paraphrase with its answer."""
