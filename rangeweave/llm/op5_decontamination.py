@@ -94,12 +94,20 @@ class Benchmark:
     def weigh(self, frequencies: np.ndarray, segments: int) -> None:
         self.idf = np.log((1 + segments) / (1 + frequencies)) + 1e-3
         self.totals = np.array([self.idf[t].sum() for t in self.terms])
+        item, self.distinct, counts = self._distinct()
+        self.distinct_weights = counts * self.idf[self.distinct]
+        self.distinct_starts = np.flatnonzero(np.diff(item, prepend=-1))
+        self.distinct_sizes = np.diff(np.append(self.distinct_starts, len(item)))
 
-    def item_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The items' TF-IDF rows, each of length 1: (item, place in the vocabulary, value) in order of item and place."""
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the vocabulary, how often) of the items' different words, in order of item and place."""
         item = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
         pairs, counts = np.unique(item * len(self.vocabulary) + np.concatenate(self.terms), return_counts=True)
-        item, term = np.divmod(pairs, len(self.vocabulary))
+        return *np.divmod(pairs, len(self.vocabulary)), counts
+
+    def item_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The items' TF-IDF rows, each of length 1: (item, place in the vocabulary, value) in order of item and place."""
+        item, term, counts = self._distinct()
         values = counts * self.idf[term]
         norm = np.sqrt(np.add.reduceat(values**2, np.flatnonzero(np.diff(item, prepend=-1))))
         return item, term, values / np.maximum(norm, 1e-12)[item]
@@ -107,7 +115,7 @@ class Benchmark:
     def project(self, basis: np.ndarray) -> None:
         self.basis = (basis * self.idf[:, None]).astype(np.float32)
         item, term, values = self.item_rows()
-        latent = np.add.reduceat(values[:, None] * basis[term], np.flatnonzero(np.diff(item, prepend=-1)), axis=0)
+        latent = _weighted(values, basis, term, np.flatnonzero(np.diff(item, prepend=-1)))
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def same(self, item: int, passage: np.ndarray) -> float | None:
@@ -181,12 +189,25 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": np.arange(-1, len(total)), "n": np.concatenate(([segments], total))})
 
 
+def _weighted(values: np.ndarray, block: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each group of entries, the sum of the rows ``which`` of ``block``, each times its value; groups begin at
+    ``starts`` and end where the next begins. All groups of a size are one stack of small products."""
+    sizes = np.diff(np.append(starts, len(values)))
+    out = np.empty((len(starts), block.shape[1]), np.result_type(values, block))
+    order = np.argsort(sizes, kind="stable")
+    edges = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        at = starts[order[a:b], None] + np.arange(sizes[order[a]])
+        out[order[a:b]] = np.matmul(values[at][:, None], block[which[at]])[:, 0]
+    return out
+
+
 def _add_product(total: np.ndarray, block: np.ndarray, row: np.ndarray, term: np.ndarray, values: np.ndarray) -> None:
     """Adds A'(A block) to ``total``; A is sparse, its entries in order of row, rows numbered without a gap."""
-    product = np.add.reduceat(values[:, None] * block[term], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
+    product = _weighted(values, block, term, np.flatnonzero(np.diff(row, prepend=-1)))
     order = np.argsort(term, kind="stable")
     at = np.flatnonzero(np.diff(term[order], prepend=-1))
-    total[term[order][at]] += np.add.reduceat(product[row[order]] * values[order, None], at, axis=0)
+    total[term[order][at]] += _weighted(values[order], product, row[order], at)
 
 
 def _sketch(b: Benchmark, block: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,40 +264,68 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]], rank: int = RANK,
     return b
 
 
+def _holding(b: Benchmark, places: np.ndarray, at: np.ndarray, stops: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs of a passage (segments ``at`` to ``stops`` of n) and an item share words of enough of the item's
+    weight for a leak, in any order. ``places`` are the sorted ``term * n + segment`` of all words."""
+    out = np.zeros(len(at), bool)
+    sizes = b.distinct_sizes[items]
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + (1 << 18), side="right")))
+        size = sizes[begin:end]
+        starts = np.cumsum(size) - size
+        of = np.repeat(b.distinct_starts[items[begin:end]] - starts, size) + np.arange(size.sum())
+        base = b.distinct[of] * n
+        # the first segment from the passage's own on that holds the word
+        found = places[np.minimum(np.searchsorted(places, base + np.repeat(at[begin:end], size)), len(places) - 1)]
+        held = (found >= base + np.repeat(at[begin:end], size)) & (found < base + np.repeat(stops[begin:end], size))
+        shared = np.add.reduceat(b.distinct_weights[of] * held, starts)
+        out[begin:end] = shared >= min(SAME, PARAPHRASED) * b.totals[items[begin:end]] - 1e-6
+        begin = end
+    return out
+
+
 def _leaks(b: Benchmark, hashes: np.ndarray, whose: np.ndarray, found: list[dict[int, float]], cosine: float) -> None:
     """Adds to ``found`` (by text) the items of which these words hold a leak."""
     terms, segment, first = _segments(b, hashes, whose)
     has = np.flatnonzero(terms >= 0)
     if not len(has):
         return
-    starts = np.flatnonzero(np.diff(segment[has], prepend=-1))
     n = int(segment[-1]) + 1
-    each = np.zeros((n, b.basis.shape[1]), np.float32)
-    each[segment[has][starts]] = np.add.reduceat(b.basis[terms[has]], starts, axis=0)
-    sums = np.zeros((n + 1, each.shape[1]), np.float32)
-    np.cumsum(each, axis=0, out=sums[1:])
     ends = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
-    words_at = np.searchsorted(segment, np.arange(n + 1))
-    text = whose[words_at[:-1]]
     # a common subsequence weighs no more than all words of its passage: lighter passages needn't be looked at
+    least = min(SAME, PARAPHRASED) * b.totals - 1e-6
     weight = np.concatenate(([0.0], np.cumsum(np.bincount(segment[has], weights=b.idf[terms[has]], minlength=n))))
-    hits = []
+    spans = []
     for span in np.unique(b.spans):
         items = np.flatnonzero(b.spans == span)
         stops = np.minimum(np.arange(n) + span, ends)
-        able = np.flatnonzero(weight[stops] - weight[:-1] >= min(SAME, PARAPHRASED) * b.totals[items].min() - 1e-6)
-        if not len(able):
-            continue
-        passages = sums[stops[able]] - sums[able]
+        able = np.flatnonzero(weight[stops] - weight[:-1] >= least[items].min())
+        if len(able):
+            spans.append((items, able, stops[able]))
+    if not spans:
+        return
+    starts = np.flatnonzero(np.diff(segment[has], prepend=-1))
+    sums = np.zeros((n + 1, b.basis.shape[1]), np.float32)
+    sums[1 + segment[has][starts]] = _weighted(np.ones(len(has), np.float32), b.basis, terms[has], starts)
+    np.cumsum(sums, axis=0, out=sums)
+    hits = []
+    for items, able, stops in spans:
+        passages = sums[stops] - sums[able]
         norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))
         near = passages @ b.latent[items].T
-        at, which = np.nonzero(near >= np.maximum(cosine * norm, 1e-9)[:, None])
-        hits += zip((near[at, which] / norm[at]).tolist(), able[at].tolist(), items[which].tolist(), strict=True)
-    hits.sort(reverse=True)
-    for _, at, item in hits:
+        at, which = np.nonzero((near >= np.maximum(cosine * norm, 1e-9)[:, None]) & ((weight[stops] - weight[able])[:, None] >= least[items]))
+        hits.append((near[at, which] / norm[at], able[at], stops[at], items[which]))
+    near, at, stops, items = (np.concatenate(x) for x in zip(*hits, strict=True))
+    holding = np.flatnonzero(_holding(b, np.sort(terms[has] * n + segment[has]), at, stops, items, n))
+    if not len(holding):
+        return
+    words_at = np.searchsorted(segment, np.arange(n + 1))
+    text = whose[words_at[:-1]]
+    for _, at, stop, item in sorted(zip(*(x[holding].tolist() for x in (near, at, stops, items)), strict=True), reverse=True):
         k = int(text[at])
         if item not in found[k]:
-            stop = min(at + int(b.spans[item]), int(ends[at]))
             passage = terms[words_at[at] : words_at[stop]]
             if (share := b.same(item, passage[passage >= 0])) is not None:
                 found[k][item] = share
