@@ -14,7 +14,7 @@ shortest path equals the library's ids.
 
 No piece holds the mark after another character, so a path passes through every place where a run of marks begins; the
 lattice is cut there, and the paths of short stretches are remembered. A Python worker holds ``REMEMBER`` of them and as
-many pair weights at most: some hundred MB when both are full, whatever the input.
+many pair weights at most: about a hundred MB when both are full, whatever the input. A worker keeps them between tasks.
 
 Edge cases: a null or empty text has no ids and decodes to the empty string. Decoding gives the text back exactly, save
 that a mark U+2581 written in the text comes back as a space (``round_trip`` is false there). Repeated rows and null
@@ -40,7 +40,7 @@ from rangeweave.llm.common import table, whole
 
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBER = 1_200_000
+REMEMBER = 400_000
 #: Longer stretches are not remembered.
 REMEMBER_CHARS = 48
 START, CHARACTER = -1, -2
