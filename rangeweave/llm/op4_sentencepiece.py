@@ -10,7 +10,8 @@ Weights come from the model. In a unigram model a piece weighs minus its score.
 ranked by a sum of scores, so the weight is on pairs of neighbouring pieces: 0 where merging the two pieces' characters
 by the model's merges gives the two back, infinite otherwise. A segmentation all of whose neighbours are so is the BPE
 segmentation, and there is one, so a state is (place, last piece), each place has one state of finite weight, and the
-shortest path equals the library's ids.
+shortest path equals the library's ids. It is found in Dijkstra's order, of places as near the furthest first, so most
+places aren't come to; a unigram model's places are relaxed in order.
 
 No piece holds the mark after another character, so a path passes through every place where a run of marks begins; the
 lattice is cut there, and the paths of short stretches are remembered. A Python worker holds ``REMEMBER`` of them and as
@@ -93,7 +94,12 @@ class Normaliser:
         state, out = 0, []
         for k, c in enumerate(text):
             if state in self.loops:
-                out.append(text[k:].translate(self.loops[state]))
+                rest, said = text[k:], self.loops[state]
+                if len(said) == 1:  # several times as fast as a table
+                    ((c, to),) = said.items()
+                    out.append(rest.replace(chr(c), to))
+                else:
+                    out.append(rest.translate(said))
                 break
             said, following = self.arcs[state].get(c, (None, 0))
             if said is None:
@@ -146,6 +152,8 @@ class Transducer:
         alone = "" if any("\n" in t and len(t) > 1 for t in self.ids) else "\n"
         self.stretch = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
         self.longest = max(map(len, self.ids))
+        #: in a BPE model whose characters are all pieces, one path of finite weight comes to each place
+        self.one_path = all(c in self.ids for c in set("".join(self.ids)))
         self.bigrams = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         self.pairs: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
@@ -205,7 +213,53 @@ class Transducer:
         return out
 
     def path(self, text: str) -> list[int]:
-        """Ids along the shortest path through a stretch of normalised text: places in order, arcs relaxed by (min, +)."""
+        """Ids along the shortest path through a stretch of normalised text."""
+        return self._furthest_first(text) if self.bpe and self.one_path else self._in_order(text)
+
+    def _furthest_first(self, text: str) -> list[int]:
+        """The path in Dijkstra's order, where finite weights are all 0: of the places that are as near, those furthest on
+        are settled first, and an arc is weighed when its turn comes. The first arc to a place is the one that there is."""
+        n, size, pairs, root = len(text), self.size, self.pairs, self.trie[1]
+        last: list[int | None] = [None] * (n + 1)
+        back = [0] * (n + 1)
+        last[0] = START
+        i, waiting = 0, []
+        while i < n:
+            after, none = root, True
+            for j in range(i, n):
+                node = after.get(text[j])
+                if node is None:
+                    break
+                piece, after = node
+                if piece is not None:
+                    waiting.append((i, j + 1, piece))
+                    none = False
+            if none:  # no other arc leaves here
+                waiting.append((i, i + 1, CHARACTER))
+            while True:
+                at, j, piece = waiting.pop()
+                if last[j] is not None:
+                    continue
+                if piece != CHARACTER:
+                    before = last[at]
+                    weight = pairs.get((before + 1) * size + piece) if before >= 0 else None
+                    if (self.weight(before, piece) if weight is None else weight) == math.inf:
+                        continue
+                last[j], back[j] = piece, at
+                i = j
+                break
+        return self._back(text, last, back)
+
+    def _back(self, text: str, last: list[int], back: list[int]) -> list[int]:
+        """Ids of the path that ends behind the text."""
+        n, ids = len(text), []
+        while n:
+            ids += self._fallback(text[back[n] : n])[::-1] if last[n] == CHARACTER else [last[n]]
+            n = back[n]
+        return ids[::-1]
+
+    def _in_order(self, text: str) -> list[int]:
+        """Places in order, arcs relaxed by (min, +)."""
         n, bpe, size, pairs, scores = len(text), self.bpe, self.size, self.pairs, self.scores
         cost, last, back = [math.inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
@@ -223,11 +277,7 @@ class Transducer:
                     weight = -scores[piece]
                 if here + weight < cost[j]:
                     cost[j], last[j], back[j] = here + weight, piece, i
-        ids: list[int] = []
-        while n:
-            ids += self._fallback(text[back[n] : n])[::-1] if last[n] == CHARACTER else [last[n]]
-            n = back[n]
-        return ids[::-1]
+        return self._back(text, last, back)
 
     def _stretch_ids(self, text: str) -> bytes:
         """The ids of a stretch that isn't among the ones just used."""

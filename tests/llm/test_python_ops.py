@@ -110,6 +110,25 @@ def test_unigram_shortest_path():
         assert fst.path(t) == list(best)
 
 
+def test_furthest_first_weighs_few_arcs(monkeypatch):
+    """The path of places in order, by fewer than half of its weights."""
+    fst, r, weighed = op4_sentencepiece.Transducer(op4_sentencepiece.MODEL), random.Random(4), [0]
+    words = ["▁" + "".join(r.choice(["the", "ti", "on", "ing", "x", "é", "日", "😀", ".", "12"]) for _ in range(r.randrange(1, 12))) for _ in range(800)]
+    weight = op4_sentencepiece.Transducer.weight
+
+    def counted(self, last, piece):
+        weighed[0] += 1
+        self.pairs.clear()
+        return weight(self, last, piece)
+
+    monkeypatch.setattr(op4_sentencepiece.Transducer, "weight", counted)
+    assert fst.one_path
+    found = [fst.path(w) for w in words]
+    few, weighed[0] = weighed[0], 0
+    assert found == [fst._in_order(w) for w in words]
+    assert 0 < 2 * few < weighed[0]
+
+
 # SimHash
 
 
